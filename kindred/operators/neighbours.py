@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.operators import ranks, tiles
-from kindred.session import cut
+from kindred.session import cut, small_table
 
 # Driver and broadcast state of the pruned search is MAX_PIVOTS vectors and
 # MAX_PIVOTS ** 2 cell pairs at most, whatever the size of the tables.
@@ -225,7 +225,7 @@ def _pruned_pairs(reps: DataFrame, vectors: DataFrame, need: int, metric: str, c
     ]
     if not pairs:
         return first
-    partners = spark.createDataFrame(pairs, "cell int, c_cell int, slots long")
+    partners = small_table(spark, pairs, "cell int, c_cell int, slots long")
     rest = _run_pairs(q_tiles, c_tiles, partners, ["cell"], need, metric, g_type)
     return first.unionByName(rest)
 

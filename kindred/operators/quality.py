@@ -37,10 +37,15 @@ def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cluster_counts(df: DataFrame, by: list[str] | None = None, label: str = "label") -> DataFrame:
+def _rows(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def cluster_counts(df: DataFrame, by: list[str] | None = None, label: str = "label",
+                   weight: str | None = None) -> DataFrame:
     """The counts in two steps: per label first, so no group is ever held distinct-by-row."""
     by = by or []
-    per_label = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_n"))
+    per_label = df.groupBy(*by, label).agg(_rows(weight).alias("_n"))
     c = F.col(label)
     total = F.sum("_n")
     return per_label.groupBy(*by).agg(
@@ -51,16 +56,24 @@ def cluster_counts(df: DataFrame, by: list[str] | None = None, label: str = "lab
     )
 
 
-def _tiled(df: DataFrame, keys: list[str], label: str, vec_col: str, tile_rows: int) -> DataFrame:
+def _points(df: DataFrame, label: str, id_col: str, vec_col: str, by: str | None,
+            weight: str | None) -> DataFrame:
+    """The non-noise rows under fixed names."""
+    return drop_noise(df, label).select(
+        (F.col(by) if by else F.lit(0)).cast("long").alias("g"), F.col(id_col).alias("_id"),
+        F.col(label).cast("long").alias("lab"), F.col(vec_col).alias("_vec"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+
+
+def _tiled(points: DataFrame, tile_rows: int) -> DataFrame:
     """Weighted different vectors in even tiles, numbered 0.., rows of one label close together.
 
     A row's place is its label's offset plus a hash inside the label, so tiles
     have the same size however uneven the labels are, and most hold one label.
     """
-    weighted = tiles.distinct_vectors(
-        df.select(*keys, F.col(label).cast("long").alias("lab"),
-                  F.col("_id").alias("_id"), F.col(vec_col).alias("_vec")),
-        [*keys, "lab"], "_id", "_vec").withColumnRenamed("copies", "m")
+    keys = ["g"]
+    weighted = tiles.distinct_vectors(points, ["g", "lab"], "_id", "_vec", weight="_w") \
+        .withColumnRenamed("copies", "m")
     sizes = weighted.groupBy(*keys, "lab").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("lab").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -127,15 +140,12 @@ def _label_sums(batches):
 
 def label_distance_sums(df: DataFrame, label: str = "label", id_col: str = "idx_global",
                         vec_col: str = "embedding", by: str | None = None,
-                        tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+                        weight: str | None = None, tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
     """Sum and number of positive pair distances inside each label and between each two labels.
 
     Noise is left out. Rows leave a tile pair as sums per label pair, never as pairs.
     """
-    points = drop_noise(df, label).select(
-        F.col(by).cast("long").alias("g") if by else F.lit(0).cast("long").alias("g"),
-        F.col(id_col).alias("_id"), label, vec_col)
-    pairs = _tile_pairs(_tiled(points, ["g"], label, vec_col, tile_rows), ["g"])
+    pairs = _tile_pairs(_tiled(_points(df, label, id_col, vec_col, by, weight), tile_rows), ["g"])
     sums = pairs.select("g", "_step", "lab", "m", "vec", "o_lab", "o_m", "o_vec").mapInArrow(
         _label_sums, "g long, label_a long, label_b long, total double, positive double, pairs double")
     return sums.groupBy("g", "label_a", "label_b").agg(
@@ -156,21 +166,15 @@ def inter_distance(sums: DataFrame) -> DataFrame:
         "g", "label_a", "label_b", (F.col("total") / F.col("pairs")).alias("mean_distance"))
 
 
-def _sizes(df: DataFrame, label: str, by: str | None) -> DataFrame:
-    g = F.col(by).cast("long") if by else F.lit(0).cast("long")
-    return drop_noise(df, label).groupBy(
-        g.alias("g"), F.col(label).cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def dbcv(df: DataFrame, label: str = "label", id_col: str = "idx_global",
-         vec_col: str = "embedding", by: str | None = None,
+         vec_col: str = "embedding", by: str | None = None, weight: str | None = None,
          tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
     """(inter - intra) / max(inter, intra) from unweighted means of cluster and pair means.
 
     One row per group ``g``; NULL when fewer than two clusters or no positive
     distance inside any cluster.
     """
-    sums = label_distance_sums(df, label, id_col, vec_col, by, tile_rows)
+    sums = label_distance_sums(df, label, id_col, vec_col, by, weight, tile_rows)
     # One pass over the label pairs gives both means.
     inside, between = F.col("label_a") == F.col("label_b"), F.col("label_a") < F.col("label_b")
     means = sums.groupBy("g").agg(
@@ -219,22 +223,20 @@ def _point_sums(batches):
 
 
 def silhouette(df: DataFrame, label: str = "label", id_col: str = "idx_global",
-               vec_col: str = "embedding", by: str | None = None,
+               vec_col: str = "embedding", by: str | None = None, weight: str | None = None,
                tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
     """Mean Euclidean silhouette of the non-noise points, and minus the noise ratio (``score``).
 
     ``score`` is -1 when there are fewer than two labels or the silhouette is undefined.
     """
-    g = F.col(by).cast("long") if by else F.lit(0).cast("long")
-    points = drop_noise(df, label).select(g.alias("g"), F.col(id_col).alias("_id"), label, vec_col)
-    pairs = _tile_pairs(_tiled(points, ["g"], label, vec_col, tile_rows), ["g"])
+    points = _points(df, label, id_col, vec_col, by, weight)
+    pairs = _tile_pairs(_tiled(points, tile_rows), ["g"])
     sums = pairs.select("g", "_step", "lab", "m", "id", "vec", "o_lab", "o_m", "o_id", "o_vec").mapInArrow(
         _point_sums, "g long, id long, own long, other long, total double")
     sums = sums.groupBy("g", "id", "own", "other").agg(F.sum("total").alias("total"))
-    sizes = _sizes(df, label, by)
-    copies = tiles.distinct_vectors(points, ["g", label], "_id", vec_col).select(
+    copies = tiles.distinct_vectors(points, ["g", "lab"], "_id", "_vec", weight="_w").select(
         "g", "id", F.col("copies").alias("m"))
-    other_n = sizes.select("g", F.col("label").alias("other"), "n")
+    other_n = points.groupBy("g", F.col("lab").alias("other")).agg(F.sum("_w").alias("n"))
     per_point = (
         sums.join(other_n, ["g", "other"])
         .groupBy("g", "id", "own").agg(
@@ -249,7 +251,8 @@ def silhouette(df: DataFrame, label: str = "label", id_col: str = "idx_global",
         F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0))
     mean = per_point.groupBy("g").agg(
         (F.sum(s * F.col("m")) / F.sum("m")).alias("silhouette"), F.sum("m").alias("_points"))
-    counts = cluster_counts(df.withColumn("g", g), ["g"], label)
+    g = (F.col(by) if by else F.lit(0)).cast("long")
+    counts = cluster_counts(df.withColumn("g", g), ["g"], label, weight)
     valid = (F.col("n_clusters") >= 2) & (F.col("_points") > F.col("n_clusters"))
     value = F.when(valid, F.col("silhouette"))
     return counts.join(mean, "g", "left").select(

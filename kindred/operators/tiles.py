@@ -19,14 +19,17 @@ TILE_ROWS = 1024
 
 
 def distinct_vectors(df: DataFrame, keys: Sequence[str], id_col: str, vec_col: str,
-                     prefix: str = "") -> DataFrame:
+                     prefix: str = "", weight: str | None = None) -> DataFrame:
     """One row per different vector of a group: first id and number of copies.
 
+    ``weight`` names a column telling how many rows a row stands for.
+
     Copies are merged before any pairwise work (with map-side combine), so a
     vector stored a billion times costs as much as one stored once.
     """
     return df.groupBy(*keys, vec_col).agg(
-        F.min(id_col).alias(f"{prefix}id"), F.count(F.lit(1)).alias(f"{prefix}copies"))
+        F.min(id_col).alias(f"{prefix}id"),
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias(f"{prefix}copies"))
 
 
 def hash_slot(id_col: str | Column, slots: Column) -> Column:

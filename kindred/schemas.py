@@ -29,19 +29,12 @@ PREDICTION_LOG = T.StructType([
     T.StructField("id", T.LongType()),
 ])
 
-TRIALS = T.StructType([
-    T.StructField("run_id", T.LongType()),
-    T.StructField("n_neighbors", T.IntegerType()),
-    T.StructField("n_components", T.IntegerType()),
-    T.StructField("min_cluster_size", T.IntegerType()),
-    T.StructField("min_samples", T.IntegerType()),
-    T.StructField("min_dist", T.DoubleType()),
-    T.StructField("label_count", T.LongType()),
-    T.StructField("n_clusters", T.LongType()),
-    T.StructField("noise_ratio", T.DoubleType()),
-    T.StructField("cost", T.DoubleType()),
-    T.StructField("dbcv_score", T.DoubleType()),
-])
+TRIALS_DDL = (
+    "run_id long, n_neighbors int, n_components int, min_cluster_size int, min_samples int, "
+    "min_dist double, label_count long, n_clusters long, noise_ratio double, cost double, "
+    "dbcv_score double"
+)
+TRIALS = T.StructType.fromDDL(TRIALS_DDL)
 
 REGISTRY = T.StructType([
     T.StructField("model_key", T.StringType()),
