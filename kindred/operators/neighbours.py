@@ -179,7 +179,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
         .select("g", "q_id", F.posexplode(F.slice(near, 1, k)).alias("_pos", "_hit"))
         .select(F.col("g").alias(g), F.col("q_id").alias(query_id),
                 F.col("_hit.c_id").alias(id_col), F.col("_hit.dist").alias("dist"),
-                (F.col("_pos") + 1).alias("rank"))
+                (F.col("_pos") + 1).cast("long").alias("rank"))
     )
     return out if by else out.drop("g")
 

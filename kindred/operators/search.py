@@ -76,7 +76,7 @@ def penalised_loss(lower: int, upper: int, cost: str = "cost", count: str = "lab
 
 def trial_rank(trials: DataFrame, score: str, ascending: bool = False) -> DataFrame:
     order = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
-    return trials.withColumn("rank_score", F.rank().over(Window.orderBy(order)))
+    return trials.withColumn("rank_score", F.rank().over(Window.orderBy(order)).cast("long"))
 
 
 def best_trial(trials: DataFrame, score: str = "cost", key: str = "run_id") -> DataFrame:

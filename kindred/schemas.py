@@ -34,7 +34,6 @@ TRIALS_DDL = (
     "min_dist double, label_count long, n_clusters long, noise_ratio double, cost double, "
     "dbcv_score double"
 )
-TRIALS = T.StructType.fromDDL(TRIALS_DDL)
 
 REGISTRY = T.StructType([
     T.StructField("model_key", T.StringType()),
