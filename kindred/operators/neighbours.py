@@ -7,40 +7,51 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.operators import ranks, tiles
-from kindred.session import cut, small_table
+from kindred.session import cut, cut_counting, small_table
 
 # Driver and broadcast state of the pruned search is MAX_PIVOTS vectors and
 # MAX_PIVOTS ** 2 cell pairs at most, whatever the size of the tables.
 MAX_PIVOTS = 512
 
 
-def _corpus_vectors(corpus: DataFrame, g: str, id_col: str, vec_col: str, keep: int) -> DataFrame:
+def _corpus_vectors(corpus: DataFrame, keys: list[str], keep: int) -> DataFrame:
     """Different vectors of each group with their ``keep`` lowest ids.
 
     Of a set of copies only the lowest ids can be among the nearest rows, so the
     rest are dropped by rank before the shuffle and no result row is lost.
     """
-    w = Window.partitionBy(g, vec_col).orderBy(id_col)
-    first = corpus.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
-    return first.groupBy(g, vec_col).agg(F.sort_array(F.collect_list(id_col)).alias("c_ids"))
+    first = ranks.top_n(corpus, [*keys, "c_vec"], [F.col("c_id")], keep, "_r")
+    return first.groupBy(*keys, "c_vec").agg(F.sort_array(F.collect_list("c_id")).alias("c_ids")) \
+        .withColumn("id", F.col("c_ids")[0])
 
 
-def _slots(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("slots"))
+def _slot_counts(df: DataFrame, keys: list[str], rows: int, n: int):
+    """Tiles per key group: a small table, or one number when there are no groups.
+
+    The table is written, so joining it is a broadcast exactly when its real size allows.
+    """
+    if not keys:
+        return max(1, math.ceil(n / rows))
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("slots"))
+    return cut(counts, "tile-counts")
 
 
-def _tile(df: DataFrame, slots: DataFrame, keys: list[str], vec_col: str, prefix: str) -> DataFrame:
+def _tile(df: DataFrame, slots, keys: list[str], vec_col: str, prefix: str) -> DataFrame:
     """Pack ``df`` (columns ``keys``, ``id``, vector) into hashed tiles numbered per key group."""
-    numbered = df.join(slots, keys).withColumn("slot", tiles.hash_slot("id", F.col("slots")))
+    if keys:
+        numbered = df.join(slots, keys)
+    else:
+        numbered = df.withColumn("slots", F.lit(slots))
+    numbered = numbered.withColumn("slot", tiles.hash_slot("id", F.col("slots")))
     return tiles.pack(numbered, [*keys, "slot"], ["id"], vec_col, prefix)
 
 
-def _block_topk(k: int, metric: str):
+def _block_topk(k: int, metric: str, grouped: bool):
     def run(batches):
         for batch in batches:
             gs, qs, cs, ds = [], [], [], []
@@ -56,34 +67,34 @@ def _block_topk(k: int, metric: str):
                 cs.append(c_ids[j])
                 ds.append(d[i, j])
             if gs:
-                rows = pa.array(np.concatenate(gs))
+                columns = [pa.array(np.concatenate(v)) for v in (qs, cs, ds)]
+                if grouped:
+                    columns.insert(0, batch.column("g").take(pa.array(np.concatenate(gs))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("g").take(rows), pa.array(np.concatenate(qs)),
-                     pa.array(np.concatenate(cs)), pa.array(np.concatenate(ds))],
-                    names=["g", "q_rep", "c_rep", "dist"])
+                    columns, names=["g"][:grouped] + ["q_rep", "c_rep", "dist"])
     return run
 
 
-def _run_pairs(q_tiles: DataFrame, c_tiles: DataFrame, partners: DataFrame, q_keys: list[str],
-               k: int, metric: str, g_type: T.DataType) -> DataFrame:
+def _run_pairs(q_tiles: DataFrame, c_tiles: DataFrame, partners, q_keys: list[str], c_keys: list[str],
+               k: int, metric: str, g_type: T.DataType | None) -> DataFrame:
     """Join query tiles to the corpus tiles named by ``partners`` and keep k per query and tile.
 
-    ``partners`` has the query tile's keys, the corpus cell and the number of
-    corpus tiles in it; one join key is one corpus tile, so a hot group is spread
-    over as many keys as it has tiles.
+    ``partners`` has the query tile's keys, the corpus tile's keys and the number of
+    corpus tiles there (or is that number, without groups); one join key is one
+    corpus tile, so a hot group is spread over as many keys as it has tiles.
     """
-    wanted = (
-        q_tiles.join(partners, q_keys)
-        .withColumn("c_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-        .drop("slots")
-    )
-    right = c_tiles.select(F.col("g"), F.col("cell").alias("c_cell"), F.col("slot").alias("c_slot"),
-                           "c_id", "c_vec")
-    schema = T.StructType([
-        T.StructField("g", g_type), T.StructField("q_rep", T.LongType()),
-        T.StructField("c_rep", T.LongType()), T.StructField("dist", T.DoubleType())])
-    pairs = wanted.join(right, ["g", "c_cell", "c_slot"]).select("g", "q_id", "q_vec", "c_id", "c_vec")
-    return pairs.mapInArrow(_block_topk(k, metric), schema)
+    if q_keys:
+        wanted = q_tiles.drop("slot").join(partners, q_keys)
+    else:
+        wanted = q_tiles.drop("slot").withColumn("slots", F.lit(partners))
+    wanted = wanted.withColumn(
+        "slot", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("slots") - 1).cast("long"))))
+    group = ["g"] if g_type is not None else []
+    fields = [T.StructField("g", g_type)] if group else []
+    schema = T.StructType([*fields, T.StructField("q_rep", T.LongType()),
+                           T.StructField("c_rep", T.LongType()), T.StructField("dist", T.DoubleType())])
+    pairs = wanted.join(c_tiles, [*c_keys, "slot"]).select(*group, "q_id", "q_vec", "c_id", "c_vec")
+    return pairs.mapInArrow(_block_topk(k, metric, bool(group)), schema)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -137,68 +148,59 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     (triangle inequality). Cells beyond the bound are skipped, with the same
     result as a full search.
     """
-    g = by or "g"
-    q = queries.select(*([F.col(by).alias("g")] if by else [F.lit(0).alias("g")]),
-                       F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"))
-    c = corpus.select(*([F.col(by).alias("g")] if by else [F.lit(0).alias("g")]),
-                      F.col(id_col).alias("c_id"), F.col(vec_col).alias("c_vec"))
-    g_type = q.schema["g"].dataType
+    group = ["g"] if by else []
+    head = [F.col(by).alias("g")] if by else []
+    q = queries.select(*head, F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"))
+    c = corpus.select(*head, F.col(id_col).alias("c_id"), F.col(vec_col).alias("c_vec"))
+    g_type = q.schema["g"].dataType if by else None
     need = k + 1 if exclude_self else k
 
-    reps = tiles.distinct_vectors(q, ["g"], "q_id", "q_vec", "q_rep_").select(
-        "g", "q_vec", F.col("q_rep_id").alias("id"))
-    vectors = _corpus_vectors(c, "g", "c_id", "c_vec", need).withColumn("id", F.col("c_ids")[0])
-
-    if pivots is not None and pivots > 1 and by is None:
-        vectors = cut(vectors, "knn-corpus")
-        best = _pruned_pairs(reps, vectors, need, metric, min(pivots, MAX_PIVOTS), g_type, tile_rows)
+    reps, n_q = cut_counting(q.groupBy(*group, "q_vec").agg(F.min("q_id").alias("id")),
+                             F.lit(True), "knn-queries")
+    vectors, n_c = cut_counting(_corpus_vectors(c, group, need), F.lit(True), "knn-corpus")
+    if pivots is not None and pivots > 1 and not by and n_c:
+        best = _pruned_pairs(reps, vectors, need, metric, min(pivots, MAX_PIVOTS), tile_rows)
     else:
-        flat_q = reps.withColumn("cell", F.lit(0))
-        flat_c = vectors.select("g", "id", "c_vec").withColumn("cell", F.lit(0))
-        c_slots = _slots(flat_c, ["g", "cell"], tile_rows)
-        q_tiles = _tile(flat_q, _slots(flat_q, ["g", "cell"], tile_rows), ["g", "cell"], "q_vec", "q_")
-        c_tiles = _tile(flat_c, c_slots, ["g", "cell"], "c_vec", "c_")
-        partners = c_slots.select("g", "cell", F.col("cell").alias("c_cell"), "slots")
-        best = _run_pairs(q_tiles, c_tiles, partners, ["g", "cell"], need, metric, g_type)
-
-    merged = ranks.top_n(best, ["g", "q_rep"], [F.col("dist"), F.col("c_rep")], need, "_r")
+        c_slots = _slot_counts(vectors, group, tile_rows, n_c)
+        q_slots = _slot_counts(reps, group, tile_rows, n_q)
+        q_tiles = _tile(reps, q_slots, group, "q_vec", "q_")
+        c_tiles = _tile(vectors.drop("c_ids"), c_slots, group, "c_vec", "c_")
+        best = _run_pairs(q_tiles, c_tiles, c_slots, group, group, need, metric, g_type)
+
+    merged = ranks.top_n(best, [*group, "q_rep"], [F.col("dist"), F.col("c_rep")], need, "_r")
     # Back from different vectors to rows: first the copies of the corpus side ...
-    ids = vectors.select("g", F.col("id").alias("c_rep"), "c_ids")
-    found = merged.join(ids, ["g", "c_rep"]).select(
-        "g", "q_rep", "dist", F.explode("c_ids").alias("c_id"))
-    found = ranks.top_n(found, ["g", "q_rep"], [F.col("dist"), F.col("c_id")], need, "_r")
-    lists = found.groupBy("g", "q_rep").agg(
+    ids = vectors.select(*group, F.col("id").alias("c_rep"), "c_ids")
+    found = merged.join(ids, [*group, "c_rep"]).select(
+        *group, "q_rep", "dist", F.explode("c_ids").alias("c_id"))
+    found = ranks.top_n(found, [*group, "q_rep"], [F.col("dist"), F.col("c_id")], need, "_r")
+    lists = found.groupBy(*group, "q_rep").agg(
         F.sort_array(F.collect_list(F.struct("dist", "c_id"))).alias("_near"))
     # ... then the copies of the query side, each minus itself where asked.
-    named = q.join(reps.withColumnRenamed("id", "q_rep"), ["g", "q_vec"]).select("g", "q_id", "q_rep")
+    named = q.join(reps.withColumnRenamed("id", "q_rep"), [*group, "q_vec"]).select(*group, "q_id", "q_rep")
     near = F.col("_near")
     if exclude_self:
         near = F.filter(near, lambda x: x["c_id"] != F.col("q_id"))
-    out = (
-        named.join(lists, ["g", "q_rep"])
-        .select("g", "q_id", F.posexplode(F.slice(near, 1, k)).alias("_pos", "_hit"))
-        .select(F.col("g").alias(g), F.col("q_id").alias(query_id),
+    return (
+        named.join(lists, [*group, "q_rep"])
+        .select(*group, "q_id", F.posexplode(F.slice(near, 1, k)).alias("_pos", "_hit"))
+        .select(*([F.col("g").alias(by)] if by else []), F.col("q_id").alias(query_id),
                 F.col("_hit.c_id").alias(id_col), F.col("_hit.dist").alias("dist"),
                 (F.col("_pos") + 1).cast("long").alias("rank"))
     )
-    return out if by else out.drop("g")
 
 
 def _pruned_pairs(reps: DataFrame, vectors: DataFrame, need: int, metric: str, count: int,
-                  g_type: T.DataType, tile_rows: int) -> DataFrame:
-    spark = reps.sparkSession
+                  tile_rows: int) -> DataFrame:
     points = _choose_pivots(vectors, "c_vec", count, metric)
-    if len(points) < 1:
-        points = np.zeros((1, 1))
-    q = cut(_assign(reps, "q_vec", points, metric), "knn-queries")
-    c = cut(_assign(vectors.select("g", "id", "c_vec"), "c_vec", points, metric), "knn-cells")
-    keys = ["g", "cell"]
-    c_slots = _slots(c, keys, tile_rows)
-    q_tiles = cut(_tile(q, _slots(q, keys, tile_rows), keys, "q_vec", "q_"), "knn-q-tiles")
-    c_tiles = cut(_tile(c, c_slots, keys, "c_vec", "c_"), "knn-c-tiles")
-
-    own = c_slots.select("g", "cell", F.col("cell").alias("c_cell"), "slots")
-    first = cut(_run_pairs(q_tiles, c_tiles, own, keys, need, metric, g_type), "knn-own")
+    if not len(points):
+        points = np.zeros((1, reps.select(F.size("q_vec")).first()[0]))
+    q = cut(_assign(reps, "q_vec", points, metric), "knn-query-cells")
+    c = cut(_assign(vectors.select("id", "c_vec"), "c_vec", points, metric), "knn-corpus-cells")
+    keys = ["cell"]
+    c_slots = _slot_counts(c, keys, tile_rows, 0)
+    q_tiles = cut(_tile(q.drop("reach"), _slot_counts(q, keys, tile_rows, 0), keys, "q_vec", "q_"), "knn-q-tiles")
+    c_tiles = cut(_tile(c.drop("reach"), c_slots, keys, "c_vec", "c_"), "knn-c-tiles")
+    first = cut(_run_pairs(q_tiles, c_tiles, c_slots, keys, keys, need, metric, None), "knn-own")
 
     # Upper bound per query cell: the worst k-th distance found in the own cell.
     kth = (
@@ -225,8 +227,9 @@ def _pruned_pairs(reps: DataFrame, vectors: DataFrame, need: int, metric: str, c
     ]
     if not pairs:
         return first
-    partners = small_table(spark, pairs, "cell int, c_cell int, slots long")
-    rest = _run_pairs(q_tiles, c_tiles, partners, ["cell"], need, metric, g_type)
+    partners = small_table(reps.sparkSession, pairs, "cell int, c_cell int, slots long")
+    rest = _run_pairs(q_tiles, c_tiles.withColumnRenamed("cell", "c_cell"), partners,
+                      keys, ["c_cell"], need, metric, None)
     return first.unionByName(rest)
 
 

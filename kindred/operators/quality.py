@@ -244,7 +244,7 @@ def silhouette(df: DataFrame, label: str = "label", id_col: str = "idx_global",
                          F.struct(F.col("total"), F.col("n")))).alias("_own"),
             F.min(F.when(F.col("own") != F.col("other"), F.col("total") / F.col("n"))).alias("b"))
         # Copies of the point itself are at distance 0 but do count as neighbours.
-        .withColumn("a", F.col("_own.total") / (F.col("_own.n") - 1))
+        .withColumn("a", F.col("_own.total") / F.nullif(F.col("_own.n") - 1, F.lit(0)))
         .join(copies, ["g", "id"])
     )
     s = F.when(F.col("_own.n") <= 1, F.lit(0.0)).otherwise(

@@ -288,7 +288,7 @@ def separate_grid_search(points: DataFrame, reduction_space: Mapping[str, Sequen
     cells = grid_table(spark, rspace).join(F.broadcast(extents), F.col("nn") == F.col("n_neighbors")) \
         .where(F.col("i") < F.col("n_components")).groupBy("cell_id", *rspace).agg(
         F.max("m").alias("m"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
-    factor = F.lit(10.0) * (1 + F.col("min_dist")) / F.col("m")
+    factor = F.lit(10.0) * (1 + F.col("min_dist")) / F.nullif(F.col("m"), F.lit(0.0))
     mean = F.col("s") / F.col("n")
     cells = trial_rank(cells.withColumn("mean_score", factor * factor * (mean * mean - F.col("q") / F.col("n")))
                        .drop("m", "s", "q", "n"), "mean_score")
