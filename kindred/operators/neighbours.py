@@ -156,8 +156,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     need = k + 1 if exclude_self else k
 
     reps, n_q = cut_counting(q.groupBy(*group, "q_vec").agg(F.min("q_id").alias("id")),
-                             F.lit(True), "knn-queries")
-    vectors, n_c = cut_counting(_corpus_vectors(c, group, need), F.lit(True), "knn-corpus")
+                             "knn-queries")
+    vectors, n_c = cut_counting(_corpus_vectors(c, group, need), "knn-corpus")
     if pivots is not None and pivots > 1 and not by and n_c:
         best = _pruned_pairs(reps, vectors, need, metric, min(pivots, MAX_PIVOTS), tile_rows)
     else:
