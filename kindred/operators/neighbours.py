@@ -12,24 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.operators import ranks, tiles
-from kindred.session import cut, cut_counting, small_table
+from kindred.session import cut, small_table
 
 # Driver and broadcast state of the pruned search is MAX_PIVOTS vectors and
 # MAX_PIVOTS ** 2 cell pairs at most, whatever the size of the tables.
 MAX_PIVOTS = 512
 
 
-def _corpus_vectors(corpus: DataFrame, keys: list[str], keep: int) -> DataFrame:
-    """Different vectors of each group with their ``keep`` lowest ids.
-
-    Of a set of copies only the lowest ids can be among the nearest rows, so the
-    rest are dropped by rank before the shuffle and no result row is lost.
-    """
-    first = ranks.top_n(corpus, [*keys, "c_vec"], [F.col("c_id")], keep, "_r")
-    return first.groupBy(*keys, "c_vec").agg(F.sort_array(F.collect_list("c_id")).alias("c_ids")) \
-        .withColumn("id", F.col("c_ids")[0])
-
-
 def _slot_counts(df: DataFrame, keys: list[str], rows: int, n: int):
     """Tiles per key group: a small table, or one number when there are no groups.
 
@@ -105,7 +94,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def _choose_pivots(corpus: DataFrame, vec_col: str, count: int, metric: str) -> np.ndarray:
     """``count`` vectors picked by hash; they only steer pruning, never the result."""
     has_length = F.exists(F.col(vec_col), lambda x: x != 0)
-    rows = (corpus.where(has_length).orderBy(F.xxhash64("c_ids"), "c_ids").limit(count)
+    rows = (corpus.where(has_length).orderBy(F.xxhash64("id"), "id").limit(count)
             .select(vec_col).collect())
     pivots = np.array([r[0] for r in rows], dtype=np.float64)
     return _unit(pivots) if metric == "cosine" else pivots
@@ -155,28 +144,29 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     g_type = q.schema["g"].dataType if by else None
     need = k + 1 if exclude_self else k
 
-    reps, n_q = cut_counting(q.groupBy(*group, "q_vec").agg(F.min("q_id").alias("id")),
-                             "knn-queries")
-    vectors, n_c = cut_counting(_corpus_vectors(c, group, need), "knn-corpus")
+    reps = tiles.write_distinct(q, group, "q_id", "q_vec", "knn-queries")
+    vectors = tiles.write_distinct(c, group, "c_id", "c_vec", "knn-corpus")
+    asked, stored = reps.select(*group, "id", "q_vec"), vectors.select(*group, "id", "c_vec")
+    # Row counts come off the file footers.
+    n_q, n_c = (0, 0) if by else (reps.count(), vectors.count())
     if pivots is not None and pivots > 1 and not by and n_c:
-        best = _pruned_pairs(reps, vectors, need, metric, min(pivots, MAX_PIVOTS), tile_rows)
+        best = _pruned_pairs(asked, stored, need, metric, min(pivots, MAX_PIVOTS), tile_rows)
     else:
-        c_slots = _slot_counts(vectors, group, tile_rows, n_c)
-        q_slots = _slot_counts(reps, group, tile_rows, n_q)
-        q_tiles = _tile(reps, q_slots, group, "q_vec", "q_")
-        c_tiles = _tile(vectors.drop("c_ids"), c_slots, group, "c_vec", "c_")
+        c_slots = _slot_counts(stored, group, tile_rows, n_c)
+        q_tiles = _tile(asked, _slot_counts(asked, group, tile_rows, n_q), group, "q_vec", "q_")
+        c_tiles = _tile(stored, c_slots, group, "c_vec", "c_")
         best = _run_pairs(q_tiles, c_tiles, c_slots, group, group, need, metric, g_type)
 
-    merged = ranks.top_n(best, [*group, "q_rep"], [F.col("dist"), F.col("c_rep")], need, "_r")
-    # Back from different vectors to rows: first the copies of the corpus side ...
-    ids = vectors.select(*group, F.col("id").alias("c_rep"), "c_ids")
-    found = merged.join(ids, [*group, "c_rep"]).select(
-        *group, "q_rep", "dist", F.explode("c_ids").alias("c_id"))
+    merged = ranks.top_n(best, [*group, "q_rep"], [F.col("dist"), F.col("c_rep")], need, "_r").drop("_r")
+    # Back from different vectors to rows: first the copies of the corpus side. Of a
+    # set of copies only the ``need`` lowest ids can be among the nearest rows ...
+    copies = tiles.copies_of(c, vectors, group, "c_id", "c_vec", need).withColumnRenamed("rep", "c_rep")
+    found = merged.join(copies, [*group, "c_rep"], "left").withColumn("c_id", F.coalesce("c_id", "c_rep"))
     found = ranks.top_n(found, [*group, "q_rep"], [F.col("dist"), F.col("c_id")], need, "_r")
     lists = found.groupBy(*group, "q_rep").agg(
         F.sort_array(F.collect_list(F.struct("dist", "c_id"))).alias("_near"))
     # ... then the copies of the query side, each minus itself where asked.
-    named = q.join(reps.withColumnRenamed("id", "q_rep"), [*group, "q_vec"]).select(*group, "q_id", "q_rep")
+    named = tiles.with_rep(q, reps, group, "q_id", "q_vec", "q_rep")
     near = F.col("_near")
     if exclude_self:
         near = F.filter(near, lambda x: x["c_id"] != F.col("q_id"))

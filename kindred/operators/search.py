@@ -204,9 +204,9 @@ def _weights(points: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def _spread_nodes(coords: DataFrame, labels: DataFrame) -> DataFrame:
     """Layout nodes with equal coordinates share the label of the first."""
     rows = coords.select("g", F.col("node").alias("_n"), "n", F.col("coords").alias("_v"))
-    reps = rows.groupBy("g", "_v").agg(F.min("_n").alias("node"))
-    return (rows.join(reps, ["g", "_v"]).drop("_v").join(labels, ["g", "node"])
-            .drop("node").withColumnRenamed("_n", "node"))
+    distinct = tiles.write_distinct(rows, ["g"], "_n", "_v", "layout-distinct")
+    return tiles.with_rep(rows, distinct, ["g"], "_n", "_v", "node").join(
+        labels, ["g", "node"]).drop("node").withColumnRenamed("_n", "node")
 
 
 def _quality_of_best(labels: DataFrame, coords: DataFrame, run_id: int) -> float | None:

@@ -15,21 +15,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.operators.ranks import top_n
+from kindred.session import cut
+
 TILE_ROWS = 1024
 
 
 def distinct_vectors(df: DataFrame, keys: Sequence[str], id_col: str, vec_col: str,
-                     prefix: str = "", weight: str | None = None) -> DataFrame:
-    """One row per different vector of a group: first id and number of copies.
-
-    ``weight`` names a column telling how many rows a row stands for.
+                     weight: str | None = None) -> DataFrame:
+    """One row per different vector of a group: lowest ``id`` and number of ``copies``.
 
     Copies are merged before any pairwise work (with map-side combine), so a
-    vector stored a billion times costs as much as one stored once.
+    vector stored a billion times costs as much as one stored once. ``weight``
+    names a column telling how many rows a row stands for.
     """
     return df.groupBy(*keys, vec_col).agg(
-        F.min(id_col).alias(f"{prefix}id"),
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias(f"{prefix}copies"))
+        F.min(id_col).alias("id"), (F.sum(weight) if weight else F.count(F.lit(1))).alias("copies"))
+
+
+def write_distinct(df: DataFrame, keys: Sequence[str], id_col: str, vec_col: str, name: str) -> DataFrame:
+    """``distinct_vectors`` written, the vectors that have copies in a folder of their own."""
+    made = distinct_vectors(df, keys, id_col, vec_col).withColumn("copied", F.col("copies") > 1)
+    return cut(made, name, ("copied",))
+
+
+def _copied(distinct: DataFrame, keys: Sequence[str], vec_col: str) -> DataFrame:
+    return distinct.where("copied").select(
+        *keys, F.col(vec_col), F.xxhash64(vec_col).alias("_h"), F.col("id").alias("_rep"))
+
+
+def with_rep(rows: DataFrame, distinct: DataFrame, keys: Sequence[str], id_col: str, vec_col: str,
+             out: str = "rep") -> DataFrame:
+    """Rows without their vector, with the id that stands for it in ``write_distinct``.
+
+    A vector without copies stands for itself, so only those with copies are
+    joined, by hash first; the table of them is usually small enough to broadcast.
+    """
+    joined = rows.withColumn("_h", F.xxhash64(vec_col)).join(
+        _copied(distinct, keys, vec_col), [*keys, "_h", vec_col], "left")
+    return joined.withColumn(out, F.coalesce("_rep", id_col)).drop("_h", "_rep", vec_col)
+
+
+def copies_of(rows: DataFrame, distinct: DataFrame, keys: Sequence[str], id_col: str, vec_col: str,
+              keep: int) -> DataFrame:
+    """The ``keep`` lowest ids of every vector that has copies: ``keys, rep, id_col``.
+
+    Ranked before the shuffle, so each task sends at most ``keep`` ids per vector.
+    """
+    joined = rows.withColumn("_h", F.xxhash64(vec_col)).join(
+        _copied(distinct, keys, vec_col), [*keys, "_h", vec_col]).select(
+        *keys, F.col("_rep").alias("rep"), id_col)
+    return top_n(joined, [*keys, "rep"], [F.col(id_col)], keep, "_r").drop("_r")
 
 
 def hash_slot(id_col: str | Column, slots: Column) -> Column:

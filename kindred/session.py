@@ -66,16 +66,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", folders: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Iterative jobs use this between rounds: the plan stops growing, a lost
     executor rereads files instead of recomputing, and the reread table has real
-    size statistics, so joins pick broadcast by size.
+    size statistics, so joins pick broadcast by size. ``folders`` are columns to
+    split the table by; a filter on them then has its own true size.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*folders) if folders else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def cut_counting(df: DataFrame, name: str = "cut", condition: str | None = None) -> tuple[DataFrame, int]:
