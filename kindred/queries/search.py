@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kindred.operators import classify, exact, graph, neighbours, reduce
 from kindred.plans import prediction
 from kindred.queries.tables import E_SQL, load, r6, vectors
+from kindred.queries.text import _ngram_sql
 
 K = 15
 MIN_SAMPLES = 5
@@ -204,7 +205,14 @@ QUERIES = {
                     "hit.id as idx_global from q left join hit using (query_id) left join rel on rel.id = hit.id"),
     "hydrate_hits": (hydrate_hits, f"with {E_SQL}, {_TOP5} select query_id, rank, idx_global, quality, toxic, "
                      "doc_id is not null as found from hits left join labels on doc_id = idx_global"),
-    "similar_documents": (similar_documents, None),
+    "similar_documents": (similar_documents, f"with {_ngram_sql('documents', 'doc_id', 'text')}, "
+                          "slots as (select k, l, unnest(range(64)) as bucket from lens), "
+                          "e as (select k as id, list(coalesce((c / l)::float::double, 0.0) order by bucket) as v "
+                          "from slots left join grams using (k, bucket) group by k) "
+                          "select a.id as idx_global, row_number() over (partition by a.id order by "
+                          f"{_COS.format('a.v', 'b.v')} desc, b.id) as rank, b.id as neighbour, "
+                          f"round(1 - {_COS.format('a.v', 'b.v')}, 6) + 0.0 as dist from e a join e b on a.id <> b.id "
+                          "qualify rank <= 3"),
     "predict_rows": (predict_rows, f"with {E_SQL}, {_REL}, {_CENTROIDS}, q0 as (select id * 2 as query_id, v from e union all "
                      f"select id * 2 + 1, {_MOVED} from e), q as (select query_id, v, label from (select query_id, v, label, "
                      f"row_number() over (partition by query_id order by {_COS.format('v', 'c')} desc, label) as r "
