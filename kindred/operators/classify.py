@@ -71,12 +71,11 @@ def classifiers(dim: int, classes: int, gamma: float) -> dict[str, Estimator]:
     target = {"labelCol": "label_index"}
     svm = Pipeline(stages=[
         FourierFeatures(inputCol="features", outputCol="kernel_features", gamma=gamma, inputSize=dim),
-        OneVsRest(classifier=LinearSVC(featuresCol="kernel_features",
-                                       rawPredictionCol="margins", maxIter=20),
-                  featuresCol="kernel_features", predictionCol="svm_choice",
-                  rawPredictionCol="margins", parallelism=4, **target),
-        # Logistic calibration turns the margins into class probabilities.
-        LogisticRegression(featuresCol="margins", maxIter=50, **target),
+        OneVsRest(classifier=LinearSVC(featuresCol="kernel_features", maxIter=20),
+                  featuresCol="kernel_features", predictionCol="svm_choice", parallelism=4, **target),
+        # Logistic calibration turns the margins (the default raw column: a loaded
+        # one-vs-rest model knows no other) into class probabilities.
+        LogisticRegression(featuresCol="rawPrediction", rawPredictionCol="calibrated", maxIter=50, **target),
     ])
     return {
         "random_forest": RandomForestClassifier(numTrees=TREES, seed=SEED, **target),
