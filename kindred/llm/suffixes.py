@@ -315,7 +315,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, max_kinds: int = MAX_KIN
     ``max_kinds`` kinds in a group; keys with more go through ``hot_compared``.
     """
     found = cut(all_runs(docs, least), "runs")
-    keys = found.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    # Written, so that the join reads plain exchanges and Spark can split a hot key.
+    keys = cut(found.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "repeated")
     often = cut(found.join(keys, "key"), "often")
     place = F.struct("doc_id", "text_key", "start", "windows")
     kinds = cut(often.groupBy("key", "kind").agg(F.count("*").alias("copies"), F.min(place).alias("at")), "kinds")
@@ -327,10 +328,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, max_kinds: int = MAX_KIN
     stretches = compared(bodies.where("not hot"), least)
     if differing.where("hot").limit(1).count():
         stretches = stretches.union(hot_compared(bodies.where("hot").dropDuplicates(["key", "kind"]), least))
-    begins = F.col("start") + F.col("first")
-    other = often.drop("windows").join(cut(stretches, "stretches"), ["key", "kind"]).select(
-        "doc_id", "text_key", F.struct(begins.alias("start"), (begins + F.col("windows") + least - 1).alias("end")).alias("span"))
-    return same.union(other).groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
+    # One row per kind, its stretches in a list no longer than the kind's run.
+    of_kind = cut(stretches.groupBy("key", "kind").agg(F.collect_list(F.struct("first", "windows")).alias("stretches")), "stretches")
+    other = often.select("doc_id", "text_key", "key", "kind", "start").join(of_kind, ["key", "kind"]).select(
+        "doc_id", "text_key", F.expr("transform(stretches, s -> struct(start + s.first as start, "
+                                     f"start + s.first + s.windows + {least - 1} as end))").alias("found"))
+    return same.select("doc_id", "text_key", F.array("span").alias("found")).union(other).groupBy("doc_id", "text_key").agg(
+        F.flatten(F.collect_list("found")).alias("spans"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
