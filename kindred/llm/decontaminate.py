@@ -29,31 +29,38 @@ def shingles(hashes: Column, k: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
 
 
-def _bit_sums(h: str) -> list[Column]:
-    """Sums over rows of the 64 bits of ``h``, two counters of 32 bits to a long."""
-    return [F.sum(F.expr(f"(shiftrightunsigned({h}, {i}) & 1L) + shiftleft(shiftrightunsigned({h}, {i + 32}) & 1L, 32)"))
-            .alias(f"lane{i}") for i in range(_LANES)]
+def fingerprint(sh: str, most: int) -> Column:
+    """SimHash of the array ``sh`` of at most ``most`` hashes: a bit is 1 if over half of them have it.
 
-
-def _majority(n: str) -> Column:
-    """SimHash out of the sums: a bit is 1 if over half of ``n`` shingles have it."""
-    low = " | ".join(f"if(2 * (lane{i} & 4294967295L) > {n}, {_long(1 << i)}, 0L)" for i in range(_LANES))
-    high = " | ".join(f"if(2 * shiftrightunsigned(lane{i}, 32) > {n}, {_long(1 << (i + 32))}, 0L)" for i in range(_LANES))
-    return F.expr(f"({low}) | ({high})")
+    A long holds several counters, as wide as ``most`` needs; lane i counts the
+    bits i, i + width, ... at once.
+    """
+    width = 8 if most < 1 << 8 else 16 if most < 1 << 16 else 32
+    ones = _long(sum(1 << at for at in range(0, 64, width)))
+    lanes = ", ".join(f"aggregate({sh}, 0L, (x, h) -> x + (shiftrightunsigned(h, {i}) & {ones})) as lane{i}" for i in range(width))
+    bits = [(f"shiftrightunsigned(one.lane{i}, {at}) & {(1 << width) - 1}L", 1 << (i + at)) for i in range(width) for at in range(0, 64, width)]
+    terms = " | ".join(f"if(2 * ({count}) > size({sh}), {_long(bit)}, 0L)" for count, bit in bits)
+    return F.expr(f"transform(array(struct({lanes})), one -> {terms})[0]")
 
 
 def _long(value: int) -> str:
     return "(-9223372036854775807L - 1L)" if value == 1 << 63 else f"{value}L"
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint: two within ``radius`` bits agree in one of them at least."""
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    """(first bit, mask) of radius + 1 blocks of 64 bits."""
     out, at = [], 0
     for i in range(radius + 1):
-        w = (64 - at) // (radius + 1 - i)
-        out.append(f"struct({i} as block, shiftrightunsigned({fp}, {at}) & {(1 << w) - 1}L as value)")
-        at += w
-    return F.expr("explode(array(" + ", ".join(out) + "))")
+        width = (64 - at) // (radius + 1 - i)
+        out.append((at, (1 << width) - 1))
+        at += width
+    return out
+
+
+def blocks(fp: str, radius: int) -> Column:
+    """The radius + 1 blocks of a fingerprint: two within ``radius`` bits agree in one of them at least."""
+    return F.expr("explode(array(" + ", ".join(
+        f"struct({i} as block, shiftrightunsigned({fp}, {at}) & {mask}L as value)" for i, (at, mask) in enumerate(_cuts(radius))) + "))")
 
 
 def benchmark_items(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -148,20 +155,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     window = ["doc", "item", "start"]
     # A window lies in the chunk its start is in.
     placed = windows.withColumn("own", F.floor(F.col("start") / step).cast("int") * step)
-    parts = placed.join(chunks.select("doc", "own", "first", "sh"), ["doc", "own"]).select(
-        *window, "n", F.explode(F.expr("slice(sh, start - first + 1, n)")).alias("h"))
-    weights = cut(parts.groupBy(*window, "n", "h").agg(F.count("*").alias("weight")), "weights")
+    formed = placed.join(chunks.select("doc", "own", "first", "sh"), ["doc", "own"]).select(
+        *window, F.expr("slice(sh, start - first + 1, n)").alias("sh")).withColumn("fp", fingerprint("sh", most))
     # Fingerprints of windows and items, blocks, and the pairs within the radius.
-    spread = [F.sum(F.expr(f"weight * ((shiftrightunsigned(h, {i}) & 1L) + shiftleft(shiftrightunsigned(h, {i + 32}) & 1L, 32))"))
-              .alias(f"lane{i}") for i in range(_LANES)]
-    prints = weights.groupBy(*window).agg(F.sum("weight").alias("held"), *spread).select(
-        *window, "held", _majority("held").alias("fp"))
-    item_prints = marks.groupBy("item").agg(F.count("*").alias("n"), *_bit_sums("h")).select("item", _majority("n").alias("item_fp"))
-    near = prints.select(*window, "held", "fp", blocks("fp", radius).alias("b")).join(
+    item_prints = items.select("item", fingerprint("sh", most).alias("item_fp"))
+    met = formed.withColumn("b", blocks("fp", radius)).join(
         item_prints.select("item", "item_fp", blocks("item_fp", radius).alias("b")), ["item", "b"]).where(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*window, "held").distinct()
+        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    # A pair that agrees in several blocks counts at the first of them.
+    earlier = " or ".join(f"(b.block > {i} and shiftrightunsigned(fp, {at}) & {m}L = shiftrightunsigned(item_fp, {at}) & {m}L)"
+                          for i, (at, m) in enumerate(_cuts(radius)))
+    near = cut(met.where(f"not ({earlier})").select(*window, "sh"), "near")
+    weights = near.select(*window, F.size("sh").alias("held"), F.explode("sh").alias("h")).groupBy(*window, "held", "h").agg(
+        F.count("*").alias("weight"))
     item_weights = marks.groupBy("item", "n", "h").agg(F.count("*").alias("item_weight")).withColumnRenamed("n", "item_n")
-    common = weights.drop("n").join(near, window).join(item_weights, ["item", "h"]).groupBy(*window, "held", "item_n").agg(
+    common = weights.join(item_weights, ["item", "h"]).groupBy(*window, "held", "item_n").agg(
         F.sum(F.least("weight", "item_weight")).alias("common"))
     best = common.withColumn("similarity", F.col("common") / (F.col("held") + F.col("item_n") - F.col("common"))).where(
         F.col("similarity") >= similarity).groupBy("doc", "item").agg(F.max("similarity").alias("similarity"))
