@@ -104,7 +104,7 @@ def _fit_once(rows: list[np.ndarray], y: np.ndarray, dim: int, rounds: int, cost
         counts[int(label > 0)][r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     values = [ratio[r] for r in rows]
-    values = [v / max(np.sqrt(v @ v), 1e-9) for v in values]
+    values = [(v / max(np.sqrt(v @ v), 1e-9)).astype(np.float32) for v in values]
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     costs = cost * np.array([0.5 / max(share[int(label > 0)], 1e-3) for label in y])
     return ratio, _dual_descent(rows, values, y, costs, dim, rounds)
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(size=pdf["row"].map(len)).sort_values(["doc_id", "size"], kind="stable")
         ratio, weights, bias, slope, offset = fit_rows(
-            [np.asarray(r, np.int64) for r in pdf["row"]], pdf["label"].to_numpy(), bits, rounds, cost)
+            [np.asarray(r, np.int32) for r in pdf["row"]], pdf["label"].to_numpy(), bits, rounds, cost)
         used = np.flatnonzero((ratio != 0) | (weights != 0))
         curve = [(-1, bias, 0.0), (-2, slope, offset)]
         return pd.concat([pd.DataFrame({"bucket": used, "ratio": ratio[used], "weight": weights[used]}),
