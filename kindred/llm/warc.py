@@ -267,7 +267,9 @@ def read_captures(keys: DataFrame, folder: str, parts: list[tuple[str, str]], wi
         if handle:
             handle.close()
 
-    dealt = keys.select("sort_key").distinct().repartitionByRange("sort_key").sortWithinPartitions("sort_key")
+    # As many parts as there are shuffle partitions: the keys are small, the records behind them aren't.
+    width = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.select("sort_key").distinct().repartitionByRange(width, "sort_key").sortWithinPartitions("sort_key")
     return dealt.mapInArrow(read, RECORDS + ", payload binary" * with_payload)
 
 
