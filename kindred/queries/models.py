@@ -40,7 +40,7 @@ def svm_predict(spark, folder):
 
 
 def cross_validate(spark, folder):
-    scores, _, _ = classify.cross_validate(vectors(spark, folder), ["random_forest"])
+    scores, _, _ = classify.cross_validate(vectors(spark, folder))
     return scores.select("classifier", r6("cv_mean").alias("cv_mean"), r6("cv_std").alias("cv_std"))
 
 

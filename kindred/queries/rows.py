@@ -107,10 +107,14 @@ def _keyed(spark, folder):
 
 
 def model_lookup(spark, folder):
-    """Every observation with the registry row of its key; the registry is built from the data."""
-    keyed = _keyed(spark, folder)
-    known = keyed.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_rows"))
-    return registry.lookup(keyed, known).select("idx_global", "model_key", "n_rows")
+    """Every observation with the registry row of its key; every customer registers the keys of its segment and
+    country again, the one of the highest number last."""
+    c = load(spark, folder, "customer").join(
+        load(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    known = c.select("c_name", F.timestamp_seconds("c_custkey").alias("registered_at"), F.explode(F.array(*[
+        naming.model_key(F.col("c_mktsegment"), F.col("n_name"), F.lit(adjusted)) for adjusted in (False, True)])).alias("model_key"))
+    return registry.lookup(_keyed(spark, folder), known.withColumnRenamed("c_name", "model_path")).select(
+        "idx_global", "model_key", "model_path")
 
 
 _WIDE = ", ".join(f"embedding[{i + 1}]::double as \"{i}\"" for i in range(DIM))
@@ -144,6 +148,8 @@ QUERIES = {
                     "row_number() over (order by vec_id) as id from embeddings"),
     "prediction_json": (prediction_json, f"with {E_SQL} select id as idx_global, '{{\"grupo_predicho\":' || cl || "
                         "',\"modelo\":\"st1\",\"clasificador\":\"mlp\"}' as response from e"),
-    "model_lookup": (model_lookup, f"with {OBS_SQL}, k as (select idx_global, {_KEY} as model_key from obs) "
-                     "select idx_global, model_key, count(*) over (partition by model_key) as n_rows from k"),
+    "model_lookup": (model_lookup, f"with {OBS_SQL}, k as (select idx_global, {_KEY} as model_key, spatial, reference from obs), "
+                     "r as (select n_name, c_mktsegment, max_by(c_name, c_custkey) as model_path from customer "
+                     "join nation on c_nationkey = n_nationkey group by all) "
+                     "select idx_global, model_key, model_path from k join r on spatial = n_name and reference = c_mktsegment"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kindred.operators import classify, exact, graph, neighbours, reduce
+from kindred.sources.observations import fetch_rows
 from kindred.plans import prediction
 from kindred.queries.tables import E_SQL, load, r6, vectors
 from kindred.queries.text import _ngram_sql
@@ -80,11 +81,8 @@ def hydrate_hits(spark, folder):
     """Hits joined to a source table that lacks some of the ids."""
     e = vectors(spark, folder)
     hits = neighbours.global_topk(_as_queries(e).drop("label"), e, 5)
-    source = load(spark, folder, "labels").select(
-        F.col("doc_id").alias("idx_global"), "quality", "toxic", F.lit(True).alias("_in"))
-    return hits.join(source, "idx_global", "left").select(
-        "query_id", "rank", "idx_global", "quality", "toxic",
-        F.coalesce("_in", F.lit(False)).alias("found"))
+    source = load(spark, folder, "labels").select(F.col("doc_id").alias("idx_global"), "quality", "toxic")
+    return fetch_rows(hits, source).select("query_id", "rank", "idx_global", "quality", "toxic", "found")
 
 
 def similar_documents(spark, folder):

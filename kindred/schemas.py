@@ -14,12 +14,7 @@ OBSERVATIONS = T.StructType([
     T.StructField("observation", T.DoubleType()),
 ])
 
-LABELLED = T.StructType([
-    T.StructField("idx_global", T.LongType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-    T.StructField("label", T.IntegerType()),
-])
-
+# Column names of the prediction log.
 PREDICTION_LOG = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("query_original", T.StringType()),
@@ -44,4 +39,5 @@ REGISTRY = T.StructType([
     T.StructField("originales_path", T.StringType()),
     T.StructField("embeddings_path", T.StringType()),
     T.StructField("model_path", T.StringType()),
+    T.StructField("registered_at", T.TimestampType()),
 ])

@@ -132,6 +132,11 @@ def test_registry(spark, tmp_path):
     known = spark.read.parquet(path)
     asked = spark.createDataFrame([("st1_mlp",)], "model_key string")
     assert registry.lookup(asked, known).first().params == "gridSearch"
+    registry.register(spark, path, model="st1", classifier="mlp", use_adjusted=False, params="random",
+                      observations_path="o", embeddings_path="e", model_path="new")
+    again = registry.lookup(asked, spark.read.parquet(path)).collect()
+    assert [r.model_path for r in again] == ["new"]
+    assert registry.list_models(spark, path).count() == 2
     bad = spark.createDataFrame([("st9_mlp",)], "model_key string")
     with pytest.raises(Exception, match="classifier not loaded: st9_mlp"):
         registry.lookup(bad, known).collect()
