@@ -58,7 +58,7 @@ def line_fault(line: str, words: list[str]) -> str | None:
     if sum(w in _SEPARATORS for w in words) >= 2:
         return "navigation"
     lowered = line.lower()
-    if all(w.strip("|>:.,") in NAVIGATION for w in lowered.split() if w not in _SEPARATORS):
+    if all(w.strip("|>:.,") in NAVIGATION for w in words_of(lowered) if w not in _SEPARATORS):
         return "navigation"
     if _BOILER.search(lowered):
         return "boilerplate"
@@ -120,3 +120,35 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST, with_text: bool =
 
 def op4_line_rules(spark, folder: str) -> DataFrame:
     return clean_lines(table(spark, folder, "documents"), with_text=False)
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+x as (select rid, unnest(string_split(text, chr(10))) as line from d),
+l as (select *, lower(line) as low from (select rid, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w from x) where len(w) > 0),
+f as (select rid, line, len(w) as n,
+    len(list_filter(w, lambda y: list_contains({_list(_SEPARATORS)}, y))) >= 2
+    or len(list_filter(regexp_extract_all(low, '[^\x20\x09-\x0D]+'), lambda y: not list_contains({_list(_SEPARATORS)}, y)
+         and not list_contains({_list(NAVIGATION)}, trim(y, '|>:.,')))) = 0
+    or regexp_matches(low, '{"|".join(BOILERPLATE)}')
+    or 3 * len(list_filter(w, lambda y: regexp_matches(y, '[#*$%&<>{{}}]|!!'))) > len(w)
+    or (len(w) >= 5 and len(list_filter(w, lambda y: contains({_list([TERMINAL])}[1], right(y, 1)))) = 0) as fault from l),
+n as (select rid, sum(n)::bigint as n_words, coalesce(sum(n) filter (where fault), 0)::bigint as n_lost_words,
+    (count(*) - count(distinct line))::bigint as n_dup_lines from f group by rid),
+t as (select rid, unnest(w) as word, generate_subscripts(w, 1) as i from (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d)),
+g as (select rid, i, word, lead(word) over o as b, lead(word, 2) over o as c from t window o as (partition by rid order by i)),
+h as (select rid, i, word, (c is not null and count(*) over (partition by rid, word, b, c) > 1)::int as again from g),
+r as (select rid, length(word) as chars, max(again) over (partition by rid order by i rows between 2 preceding and current row) as covered from h),
+k as (select rid, sum(chars)::bigint as word_chars, sum(covered)::bigint as n_repeat_words from r group by rid),
+a as (select d.rid, doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lost_words, 0) as n_lost_words
+  from d left join n using (rid) left join k using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words,
+  (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * n_lost_words <= n_words as kept from a
+"""

@@ -6,7 +6,7 @@ QUERIES = {
     "op1_token_counts": (tokens.op1_token_counts, None),
     "op2_suffix_dedup": (suffixes.op2_suffix_dedup, None),
     "op3_quality_classifier": (quality.op3_quality_classifier, None),
-    "op4_line_rules": (lines.op4_line_rules, None),
+    "op4_line_rules": (lines.op4_line_rules, lines.SQL),
     "op5_mix_sources": (mix.op5_mix_sources, mix.SQL),
     "op6_warc": (warc.op6_warc, warc.SQL),
     "op7_paragraph_dedup": (paragraphs.op7_paragraph_dedup, None),
