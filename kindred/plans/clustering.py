@@ -23,8 +23,14 @@ def generate_clusters(points: DataFrame, n_neighbors: int, n_components: int, mi
 
 
 def score_clusters(clusters: DataFrame, threshold: float = quality.LOW_PROBABILITY) -> DataFrame:
-    """Label counts, noise and the share of uncertain points, in one aggregate."""
-    return clusters.agg(*quality.count_columns(), quality.cost_column("prob", threshold))
+    """Label counts, noise and the share of uncertain points: per label first, then over the labels."""
+    per_label = clusters.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob") < threshold).alias("low"))
+    noise = F.sum(F.when(F.col("label") == quality.NOISE, F.col("n")))
+    return per_label.agg(
+        F.count(F.lit(1)).alias("label_count"), F.count_if(F.col("label") >= 0).alias("n_clusters"),
+        (F.coalesce(noise, F.lit(0)) / F.sum("n")).alias("noise_ratio"), F.sum("n").alias("n_points"),
+        (F.sum("low") / F.sum("n")).alias("cost"))
 
 
 def write_clusters(points: DataFrame, clusters: DataFrame, folder: str, files_per_label: int = 1,

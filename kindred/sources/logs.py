@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +38,14 @@ def next_ids(batch: DataFrame, last_id: DataFrame, order: str, out: str = "id",
 
 def read_log(spark: SparkSession, path: str, schema=PREDICTION_LOG) -> DataFrame:
     """The log, or an empty one when nothing was written yet."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop_path):
+    try:
+        log = spark.read.schema(schema).parquet(path)
+        log.schema  # a client without a JVM looks at the path only now
+        return log
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def append_predictions(predictions: DataFrame, path: str, query_id: str = "query_id") -> DataFrame:
