@@ -148,8 +148,7 @@ def propose(trials: DataFrame, space: Mapping[str, Sequence], gamma: float = 0.2
 
 
 def evaluate_trials(points: DataFrame, trials: list[dict], lower: int = 2, upper: int = 1 << 30,
-                    levels: int = density.DEFAULT_LEVELS, seed: int = 42, iterations: int = 8,
-                    id_col: str = "idx_global", vec_col: str = "embedding"
+                    seed: int = 42, iterations: int = 8, id_col: str = "idx_global", vec_col: str = "embedding"
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reduce and cluster for every trial together.
 
@@ -170,11 +169,9 @@ def evaluate_trials(points: DataFrame, trials: list[dict], lower: int = 2, upper
     coords = cut(made.join(F.broadcast(shape_rows), "nn").join(_weights(points, id_col, vec_col), "node").select(
         "g", "node", "n", F.slice("coords", F.lit(1), F.col("nc")).alias("coords")), "trial-coords")
     samples = sorted({t["min_samples"] for t in trials})
-    nodes, forest = density.density_forest(coords, samples, max(max(samples) + 1, 15), "g", "node", "coords",
-                                           weight="n")
+    nodes, forest = density.density_forest(coords, samples, None, "g", "node", "coords", weight="n")
     keys = ["g", "ms"]
-    ladder, members = density.hierarchy(nodes, forest, keys, levels)
-    labels = density.select_clusters(nodes, ladder, members, keys,
+    labels = density.select_clusters(nodes, density.hierarchy(nodes, forest, keys), keys,
                                      sorted({t["min_cluster_size"] for t in trials}))
     plan = small_table(spark,
         [(t["run_id"], shapes.index((t["n_neighbors"], t["n_components"])), t["min_samples"],
@@ -270,8 +267,7 @@ def bayesian_search(points: DataFrame, space: Mapping[str, Sequence], label_lowe
 
 def separate_grid_search(points: DataFrame, reduction_space: Mapping[str, Sequence] | None = None,
                          density_space: Mapping[str, Sequence] | None = None, seed: int = 42,
-                         iterations: int = 8, levels: int = density.DEFAULT_LEVELS,
-                         id_col: str = "idx_global", vec_col: str = "embedding"):
+                         iterations: int = 8, id_col: str = "idx_global", vec_col: str = "embedding"):
     """Best reduction by spread, then best clustering by silhouette minus noise.
 
     Returns (summary row, best parameters, reduction cells, clustering cells, labels of the best).
@@ -299,12 +295,11 @@ def separate_grid_search(points: DataFrame, reduction_space: Mapping[str, Sequen
     layout = cut(layout.join(_weights(points, id_col, vec_col), "node").select(
         F.lit(0).alias("g"), "node", "n", "coords"), "grid-coords")
     samples, sizes = sorted(set(dspace["min_samples"])), sorted(set(dspace["min_cluster_size"]))
-    nodes, forest = density.density_forest(layout, samples, max(max(samples) + 1, 15), "g", "node", "coords",
-                                           weight="n")
+    nodes, forest = density.density_forest(layout, samples, None, "g", "node", "coords", weight="n")
     keys, parts = ["g", "ms"], []
+    tree = density.hierarchy(nodes, forest, keys)
     for i, eps in enumerate(dspace.get("cluster_selection_epsilon", [0.0])):
-        ladder, members = density.hierarchy(nodes, forest, keys, levels, eps)
-        parts.append(_spread_nodes(layout, density.select_clusters(nodes, ladder, members, keys, sizes))
+        parts.append(_spread_nodes(layout, density.select_clusters(nodes, tree, keys, sizes, eps))
                      .select("ms", "mcs", F.lit(float(eps)).alias("cluster_selection_epsilon"),
                              "node", "n", "label", "prob"))
     every = parts[0]

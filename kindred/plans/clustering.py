@@ -12,12 +12,12 @@ from kindred.sources import vectors as vec
 
 def generate_clusters(points: DataFrame, n_neighbors: int, n_components: int, min_cluster_size: int,
                       min_samples: int = 10, min_dist: float = 0.0, seed: int = 42,
-                      levels: int = density.DEFAULT_LEVELS, id_col: str = "idx_global",
+                      id_col: str = "idx_global",
                       vec_col: str = "embedding") -> DataFrame:
     """Reduce, then cluster: ``id_col, coords, label, prob`` for every point."""
     coords = cut(reduce.reduce_layout(points, n_neighbors, n_components, min_dist, seed,
                                       id_col=id_col, vec_col=vec_col), "coords")
-    labels = density.density_cluster(coords, min_cluster_size, min_samples, levels=levels,
+    labels = density.density_cluster(coords, min_cluster_size, min_samples,
                                      id_col=id_col, vec_col="coords")
     return coords.join(labels, id_col)
 
