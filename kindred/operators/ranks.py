@@ -10,23 +10,36 @@ from pyspark.sql import functions as F
 ID_CHUNK = 1 << 20
 
 
+def _before(counts: DataFrame, by: list[str], levels: int) -> DataFrame:
+    """``by, _chunk, _before``: rows in the chunks ahead of each, from ``by, _chunk, _n``.
+
+    With ``levels`` above 0 chunks are numbers; ``ID_CHUNK`` consecutive ones are summed
+    together, and the sums of those are placed the same way one level up.
+    """
+    group = [*by, "_piece"] if levels else by
+    tagged = counts.withColumn("_piece", F.floor(F.col("_chunk") / F.lit(ID_CHUNK))) if levels else counts
+    ahead = F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = tagged.withColumn("_before", ahead).drop("_n")
+    if not levels:
+        return placed
+    pieces = tagged.groupBy(*group).agg(F.sum("_n").alias("_n")).withColumnRenamed("_piece", "_chunk")
+    outer = _before(pieces, by, levels - 1).withColumnsRenamed({"_chunk": "_piece", "_before": "_outer"})
+    return placed.join(outer, group).select(*by, "_chunk", (F.col("_before") + F.col("_outer")).alias("_before"))
+
+
 def position(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], chunk: Column,
-             out: str = "pos") -> DataFrame:
+             out: str = "pos", levels: int = 0) -> DataFrame:
     """0-based position of each row inside its ``by`` group, in ``order``.
 
     ``chunk`` must grow with ``order``: it cuts a group, however large, into
-    consecutive pieces. Pieces are counted (a small table), their offsets summed,
-    and only the rows of one piece are ever sorted together.
+    consecutive pieces. Pieces are counted, their offsets summed (in ``levels`` more
+    steps where there may be many), and only the rows of one piece are ever sorted
+    together.
     """
     by = list(by)
     tagged = df.withColumn("_chunk", chunk)
-    offsets = (
-        tagged.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(
-            F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk")
-                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
-    )
+    offsets = _before(tagged.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n")), by, levels)
     inside = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order)) - 1
     return (
         tagged.withColumn("_in", inside).join(offsets, [*by, "_chunk"])
@@ -39,16 +52,20 @@ def relative_index(df: DataFrame, by: Sequence[str], id_col: str = "idx_global",
                    out: str = "idx_relativo", chunk_rows: int = ID_CHUNK) -> DataFrame:
     """Position in file order inside the group.
 
-    Ids are unique row positions, so a range of ``chunk_rows`` ids never holds
-    more than ``chunk_rows`` rows.
+    Ids are unique longs, so a range of ``chunk_rows`` ids never holds more than
+    ``chunk_rows`` rows; two more levels of ``ID_CHUNK`` ranges leave at most 16 at the
+    top, so sparse ids (hashes) are no more work for a task than row numbers.
     """
     chunk = F.floor(F.col(id_col) / F.lit(chunk_rows))
-    return position(df, by, [id_col], chunk, out)
+    return position(df, by, [id_col], chunk, out, 2)
 
 
 def hash_position(df: DataFrame, by: Sequence[str], id_col: str, seed: str,
-                  out: str = "pos", digits: int = 3) -> DataFrame:
-    """Position inside the group in seeded-hash order: a repeatable shuffle."""
+                  out: str = "pos", digits: int = 5) -> DataFrame:
+    """Position inside the group in seeded-hash order: a repeatable shuffle.
+
+    Up to ``16**digits`` pieces per group (about a million), summed in one task of small rows.
+    """
     key = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
     hashed = df.withColumn("_key", key)
     return position(hashed, by, ["_key", id_col], F.substring("_key", 1, digits), out).drop("_key")

@@ -137,8 +137,9 @@ def components_at_eps(spark, folder):
 
 
 def spanning_forest(spark, folder):
-    forest, _ = graph.spanning_forest(_edges(spark, folder))
-    return forest.select("a", "b", r6("w").alias("w"))
+    # Weights equal to six digits count as ties, which go to the lower ids.
+    forest, _ = graph.spanning_forest(_edges(spark, folder).withColumn("w", r6("w")))
+    return forest.select("a", "b", "w")
 
 
 def _first_coords(e, n):
@@ -234,7 +235,15 @@ QUERIES = {
                           "reach(id, other) as (select id, id from e union select r.id, s.b from reach r "
                           "join both_ways s on r.other = s.a) "
                           "select id as idx_global, min(other) as component from reach group by id"),
-    "spanning_forest": (spanning_forest, None),
+    # An edge belongs if no path of earlier edges (by weight, then ends) joins its ends.
+    "spanning_forest": (spanning_forest, f"with recursive {E_SQL}, {_NEAR}, {_CORE}, {_EDGES}, "
+                        "ordered as materialized (select a, b, round(w, 6) + 0.0 as w, row_number() over "
+                        "(order by round(w, 6), a, b) as o from edges), "
+                        "steps as materialized (select a as x, b as y, o from ordered union all select b, a, o from ordered), "
+                        "reach(o, x) as (select o, a from ordered union select r.o, s.y from reach r "
+                        "join steps s on s.x = r.x and s.o < r.o) "
+                        "select a, b, w from ordered where not exists "
+                        "(select 1 from reach r where r.o = ordered.o and r.x = ordered.b)"),
     "cluster_map": (cluster_map, f"with {E_SQL} select floor(v[1] / 0.05)::bigint as x_bin, floor(v[2] / 0.05)::bigint as y_bin, "
                     "cl as label, count(*) as n, cl = -1 as is_noise from e group by 1, 2, cl"),
     "place_new": (place_new, f"with {E_SQL}, q as (select id, {_MOVED} as v from e), near as (select q.id as id, b.v as bv, "

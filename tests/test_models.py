@@ -70,6 +70,16 @@ def test_random_search_best_is_the_minimum_and_repeats(labelled):
     assert low / n == pytest.approx(best["cost"])
 
 
+def test_a_trial_costs_the_same_alone_and_in_any_batch(labelled):
+    trial = {"run_id": 0, "n_neighbors": 8, "n_components": 2, "min_cluster_size": 10, "min_samples": 4, "min_dist": 0.0}
+    others = [{**trial, "run_id": 1, "min_samples": 30}, {**trial, "run_id": 2, "n_neighbors": 12, "n_components": 3}]
+    alone = search.evaluate_trials(labelled, [trial])[0].first()
+    batch = search.evaluate_trials(labelled, [trial, *others])[0].where("run_id = 0").first()
+    again = clustering.score_clusters(clustering.generate_clusters(labelled, 8, 2, 10, 4)).first()
+    assert alone.cost == batch.cost == pytest.approx(again.cost)
+    assert alone.label_count == batch.label_count == again.label_count
+
+
 def test_generate_clusters_and_write(spark, labelled, tmp_path):
     out = clustering.generate_clusters(labelled, 10, 2, 10, 5)
     score = clustering.score_clusters(out).first()

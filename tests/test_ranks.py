@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,12 @@ def test_next_ids_continue_the_log(spark, skewed):
     assert got.id.tolist() == list(range(42, 42 + len(got)))
     empty = spark.createDataFrame([(None,)], "last_id long")
     assert logs.next_ids(skewed, empty, "idx_global").agg(F.min("id")).first()[0] == 1
+
+
+def test_positions_of_sparse_and_negative_ids(spark):
+    rng = np.random.default_rng(4)
+    ids = np.unique(np.concatenate([rng.integers(-2**63, 2**63 - 1, 300), np.arange(40), [-2**63, 2**63 - 1]]))
+    df = spark.createDataFrame([(int(i), int(i) % 2) for i in ids], "idx_global long, g int")
+    got = {r.idx_global: r.idx_relativo for r in ranks.relative_index(df, ["g"]).collect()}
+    for g in (0, 1):
+        assert [got[i] for i in sorted(i for i in got if i % 2 == g)] == list(range(sum(i % 2 == g for i in got)))
