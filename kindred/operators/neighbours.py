@@ -262,7 +262,11 @@ def mutual_reach(graph: DataFrame, core: DataFrame, by: str | None = None,
 def group_topk(queries: DataFrame, corpus: DataFrame, n: int = 10, label: str = "label",
                id_col: str = "idx_global", vec_col: str = "embedding",
                query_id: str = "query_id") -> DataFrame:
-    """Most similar rows of the query's own group, with relative and global index."""
+    """Most similar rows of the query's own group, with relative and global index.
+
+    Groups no query asks for are left out before anything is grouped or tiled.
+    """
+    corpus = ranks.in_asked_groups(corpus, queries, label)
     hits = knn_join(queries, corpus, n, "cosine", by=label, id_col=id_col, vec_col=vec_col,
                     query_id=query_id)
     index = ranks.relative_index(corpus.select(label, id_col), [label], id_col)

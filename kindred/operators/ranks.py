@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import cut_counting
+
 ID_CHUNK = 1 << 20
+# Groups named one by one in a scan's filter; with more of them they are joined.
+LISTED_GROUPS = 1000
 
 
 def _before(counts: DataFrame, by: list[str], levels: int) -> DataFrame:
@@ -103,3 +107,15 @@ def exact_sample(df: DataFrame, fraction: float, id_col: str, seed: str,
         .where(F.col("_before") + F.col("_in") <= F.col("_want"))
         .select(*df.columns)
     )
+
+
+def in_asked_groups(corpus: DataFrame, asked: DataFrame, label: str) -> DataFrame:
+    """Rows of ``corpus`` whose group occurs in ``asked``.
+
+    Up to ``LISTED_GROUPS`` groups become a filter on values, which reaches the scan and
+    leaves out the folders of other groups; more are a semi-join.
+    """
+    groups, count = cut_counting(asked.where(F.col(label).isNotNull()).select(label).distinct(), "asked-groups")
+    if count > LISTED_GROUPS:
+        return corpus.join(groups, label, "left_semi").select(*corpus.columns)
+    return corpus.where(F.col(label).isin([r[0] for r in groups.collect()]))

@@ -69,3 +69,20 @@ def test_positions_of_sparse_and_negative_ids(spark):
     got = {r.idx_global: r.idx_relativo for r in ranks.relative_index(df, ["g"]).collect()}
     for g in (0, 1):
         assert [got[i] for i in sorted(i for i in got if i % 2 == g)] == list(range(sum(i % 2 == g for i in got)))
+
+
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_only_the_folders_of_asked_groups_are_read(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(ranks, "LISTED_GROUPS", listed)
+    rows = [(i, i % 5) for i in range(40)]
+    spark.createDataFrame(rows, "idx_global long, label int").write.partitionBy("label").parquet(str(tmp_path / "c"))
+    corpus = spark.read.parquet(str(tmp_path / "c"))
+    asked = spark.createDataFrame([(1, 3), (2, 3), (3, 9), (4, None)], "query_id long, label int")
+    got = ranks.in_asked_groups(corpus, asked, "label")
+    assert {tuple(r) for r in got.collect()} == {r for r in rows if r[1] == 3}
+    if listed == 1000:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "label" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert "Exchange" not in plan
+    none = ranks.in_asked_groups(corpus, asked.limit(0), "label")
+    assert none.count() == 0
