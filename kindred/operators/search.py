@@ -43,6 +43,7 @@ ORIGINAL_DENSITY_SPACE = {
 }
 COUNT_PENALTY = 0.15
 PARAMETERS = ["n_neighbors", "n_components", "min_cluster_size", "min_samples", "min_dist"]
+RESULT_COLUMNS = [*PARAMETERS, "n_clusters", "noise_ratio", "dbcv_score"]
 
 
 def with_grid(df: DataFrame, space: Mapping[str, Sequence]) -> DataFrame:
@@ -79,6 +80,12 @@ def trial_rank(trials: DataFrame, score: str, ascending: bool = False) -> DataFr
     return trials.withColumn("rank_score", F.rank().over(Window.orderBy(order)).cast("long"))
 
 
+def cell_summary(scores: DataFrame, cell: Sequence[str], score: str = "score", ascending: bool = False) -> DataFrame:
+    """Mean, population deviation and rank of each grid cell over its folds (one row per cell and fold)."""
+    cells = scores.groupBy(*cell).agg(F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"))
+    return trial_rank(cells, "mean_score", ascending)
+
+
 def best_trial(trials: DataFrame, score: str = "cost", key: str = "run_id") -> DataFrame:
     """The row of the lowest score, ties to the lowest key."""
     everything = F.struct(*trials.columns)
@@ -86,6 +93,18 @@ def best_trial(trials: DataFrame, score: str = "cost", key: str = "run_id") -> D
         F.min_by(everything, F.struct(score, key)).alias("_t")).select("_t.*")
 
 
+def result_row(best: DataFrame, method: str, model: str) -> DataFrame:
+    """The best trial as a row of the result table: method, time, parameters, counts, score, model.
+
+    Parameters the method doesn't have are NULL.
+    """
+    kinds = {"noise_ratio": "double", "dbcv_score": "double", "min_dist": "double"}
+    columns = [F.col(c) if c in best.columns else F.lit(None) for c in RESULT_COLUMNS]
+    return best.select(
+        F.lit(method).alias("method"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        *[c.cast(kinds.get(n, "int")).alias(n) for c, n in zip(columns, RESULT_COLUMNS)], F.lit(model).alias("model"))
+
+
 def consolidated(results: Sequence[DataFrame]) -> DataFrame:
     """Result tables of the methods together, best quality first, missing scores last."""
     out = results[0]

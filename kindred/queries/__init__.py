@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with its SQL form where SQL can say it."""
 
-from kindred.queries import models, quality, rows, search, text, trials
+from kindred.queries import models, quality, rows, search, sinks, text, trials
 
-MODULES = [text, rows, search, quality, trials, models]
+MODULES = [text, rows, search, quality, trials, models, sinks]
 
 
 def registered() -> dict:

@@ -24,6 +24,16 @@ PREDICTION_LOG = T.StructType([
     T.StructField("id", T.LongType()),
 ])
 
+# Column names of the hits table, and the stages of an embedding run with their columns.
+HIT_COLUMNS = {"similarity": "similitud_coseno", "idx_relativo": "indice_relativo", "idx_global": "indice_global"}
+EMBEDDING_TIMINGS = {
+    "load": "tiempo_carga_dataset",
+    "text": "tiempo_procesado_texto",
+    "model": "tiempo_carga_modelo",
+    "embed": "tiempo_generacion_embeddings",
+    "save": "tiempo_guardado_embeddings",
+}
+
 TRIALS_DDL = (
     "run_id long, n_neighbors int, n_components int, min_cluster_size int, min_samples int, "
     "min_dist double, label_count long, n_clusters long, noise_ratio double, cost double, "

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.schemas import PREDICTION_LOG
+from kindred.schemas import EMBEDDING_TIMINGS, HIT_COLUMNS, OBSERVATION_COLUMNS, PREDICTION_LOG
 
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _moment() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def append_timing(spark: SparkSession, path: str, method: str, seconds: float) -> None:
     row = spark.range(1).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
@@ -20,6 +26,14 @@ def append_timing(spark: SparkSession, path: str, method: str, seconds: float) -
     append(row, path)
 
 
+def append_embedding_timings(spark: SparkSession, path: str, model: str, seconds: Mapping[str, float]) -> None:
+    """One row of the five stages of an embedding run; a stage that is not given is NULL."""
+    row = spark.range(1).select(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.lit(model).alias("modelo"),
+        *[F.round(F.lit(seconds.get(stage)).cast("double"), 2).alias(name) for stage, name in EMBEDDING_TIMINGS.items()])
+    append(row, path)
+
+
 def next_ids(batch: DataFrame, last_id: DataFrame, order: str, out: str = "id",
              chunk_rows: int | None = None) -> DataFrame:
     """Number a batch upwards from the last id of a log (1 when the log is empty).
@@ -52,18 +66,34 @@ def append_predictions(predictions: DataFrame, path: str, query_id: str = "query
     """Append predictions (``sentence, predicted, confidence, found``) with running ids."""
     log = read_log(predictions.sparkSession, path)
     rows = next_ids(predictions, log.agg(F.max("id").alias("last_id")), query_id).select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-        F.col("sentence").alias("query_original"), F.col("predicted").alias("grupo_predicho"),
+        _moment().alias("timestamp"), F.col("sentence").alias("query_original"), F.col("predicted").alias("grupo_predicho"),
         F.col("confidence").alias("confianza"), F.col("found").alias("prediccion"), "id")
     append(rows, path)
     return rows
 
 
-def embedding_log_rows(predictions: DataFrame) -> DataFrame:
+def embedding_log_rows(predictions: DataFrame, cells: Sequence[str] = ()) -> DataFrame:
+    """Rows of the embedding log; ``vector_input`` is the JSON list of the input ``cells`` (a NULL cell: null)."""
+    typed = F.to_json(F.array(*[F.col(c).cast("string") for c in cells]), {"ignoreNullFields": "false"})
     return predictions.select(
+        (typed if cells else F.lit(None).cast("string")).alias("vector_input"),
         F.col("sentence").alias("query_string"), "embedding",
-        F.col("predicted").alias("predicted_label"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
+        F.col("predicted").alias("predicted_label"), _moment().alias("timestamp"))
+
+
+def append_embeddings(predictions: DataFrame, path: str, cells: Sequence[str] = ()) -> None:
+    append(embedding_log_rows(predictions, cells), path)
+
+
+def hit_rows(hits: DataFrame) -> DataFrame:
+    """Hydrated hits under the names of the hits table, all queries in one table keyed by ``query_id``."""
+    return hits.select(
+        "query_id", "rank", *[F.col(c).alias(name) for c, name in HIT_COLUMNS.items()],
+        *OBSERVATION_COLUMNS, F.col("sentence_shown").alias("sentencia_procesada"), _moment().alias("timestamp"))
+
+
+def append_hits(hits: DataFrame, path: str) -> None:
+    append(hit_rows(hits), path)
 
 
 def log_union(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,12 +105,7 @@ def export_vector_text(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return df.withColumn(vec_col, F.to_json(vec_col))
 
 
-def write_search(path: str, trials: DataFrame, summary: DataFrame | None = None) -> None:
+def write_search(path: str, result: DataFrame, trials: DataFrame) -> None:
+    """Append a search's trials, and its result row to the table all methods share."""
     append(trials, f"{path.rstrip('/')}/trials")
-    if summary is not None:
-        append(summary, f"{path.rstrip('/')}/grid_summary")
-
-
-def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    append(result, f"{path.rstrip('/')}/results")

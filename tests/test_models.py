@@ -166,3 +166,38 @@ def test_prediction_log_counts_on(spark, tmp_path):
 
 def test_observation_columns_are_the_sentence():
     assert OBSERVATION_COLUMNS[:3] == ["spatial", "temporal", "interest"]
+
+
+def test_embedding_log_hits_and_timings(spark, observed, tmp_path):
+    made = embed_observations(observed.limit(2), OBSERVATION_COLUMNS).withColumn("predicted", F.lit(4)).withColumn(
+        "reference", F.lit(None).cast("string"))
+    logs.append_embeddings(made, str(tmp_path / "vectors"), ["spatial", "reference"])
+    logs.append_embeddings(made, str(tmp_path / "vectors"))
+    rows = spark.read.parquet(str(tmp_path / "vectors"))
+    assert rows.columns == ["vector_input", "query_string", "embedding", "predicted_label", "timestamp"]
+    assert {r.vector_input for r in rows.collect()} == {None} | {
+        f'["{r.spatial}",null]' for r in made.collect()}
+    text = logs.export_vector_text(rows).withColumn("back", F.from_json("embedding", "array<float>"))
+    assert sorted(map(str, text.select("back").collect())) == sorted(
+        str(r).replace("embedding", "back") for r in rows.select("embedding").collect())
+    hits = spark.createDataFrame([(1, 1, 0, 3, 0.5, False), (1, 2, 9, 999, 0.25, False)],
+                                 "query_id long, rank long, idx_relativo long, idx_global long, similarity double, exact boolean")
+    for _ in range(2):
+        logs.append_hits(prediction.hydrate(hits, observed), str(tmp_path / "hits"))
+    kept = spark.read.parquet(str(tmp_path / "hits"))
+    assert kept.count() == 4
+    got = {r.indice_global: r for r in kept.collect()}
+    assert got[3].similitud_coseno == 0.5 and got[3].sentencia_procesada.startswith("place 3")
+    assert got[999].spatial is None and got[999].sentencia_procesada is None
+    logs.append_embedding_timings(spark, str(tmp_path / "times"), "st1", {"load": 1.239, "save": 2.0})
+    row = spark.read.parquet(str(tmp_path / "times")).first()
+    assert (row.modelo, row.tiempo_carga_dataset, row.tiempo_guardado_embeddings, row.tiempo_carga_modelo) == ("st1", 1.24, 2.0, None)
+
+
+def test_result_row_and_cells(spark):
+    best = spark.createDataFrame([(7, 5, 0.25, 3, None)], "run_id long, min_samples int, noise_ratio double, n_clusters long, dbcv_score double")
+    row = search.result_row(best, "random_search", "st1").first()
+    assert len(row) == 11 and (row.method, row.min_samples, row.min_dist, row.n_clusters, row.dbcv_score) == ("random_search", 5, None, 3, None)
+    scores = spark.createDataFrame([(0, 0.5), (0, 1.0), (1, 0.75), (1, 0.75), (2, 0.1)], "cell_id long, score double")
+    got = {r.cell_id: (r.mean_score, r.std_score, r.rank_score) for r in search.cell_summary(scores, ["cell_id"]).collect()}
+    assert got == {0: (0.75, 0.25, 1), 1: (0.75, 0.0, 1), 2: (0.1, 0.0, 3)}
