@@ -162,9 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
         cost: float = COST):
     """Fit on at most ``max_rows`` labelled documents, those of the least hash of doc_id; the model as from ``fit_rows``.
 
-    Only ids are ranked to choose them. Their bucket numbers meet in one task,
-    bounded by ``max_rows``, which returns one row per bucket (2**bits at most)
-    and the five numbers of the curve.
+    Only ids are ranked to choose them. Of an id that rows share, the text of fewest
+    buckets (ties: the least) is learned from, however many rows those are. The bucket
+    numbers meet in one task, bounded by ``max_rows``, which returns one row per bucket
+    (2**bits at most) and the five numbers of the curve.
     """
     chosen = training_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -177,9 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
 
     rows = map_batches(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text"), hashed,
                        f"doc_id {kind}, label int, row array<int>")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.size("row").alias("size"), "row")).alias("least")).select(
+        "doc_id", "label", "least.row")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf["row"].map(len)).sort_values(["doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values("doc_id", kind="stable")
         ratio, weights, bias, slope, offset = fit_rows(
             [np.asarray(r, np.int32) for r in pdf["row"]], pdf["label"].to_numpy(), bits, rounds, cost)
         used = np.flatnonzero((ratio != 0) | (weights != 0))

@@ -128,6 +128,17 @@ def test_quality_classifier(spark, docs, empty):
     assert {r["score"] for r in quality.classify(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_a_labelled_id_that_many_rows_share_is_learned_from_once(spark):
+    texts = [(1, prose(30, 1)), (2, "the " + prose(30, 2)), (3, prose(30, 3)), (4, "the " + prose(30, 4))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    known = {r["doc_id"] for r in quality.training_labels(labels).collect()}
+    texts = [(i, t) for i, (_, t) in zip(sorted(known), texts)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    hot = plain.union(spark.createDataFrame([(texts[0][0], texts[0][1])] * 500 + [(texts[0][0], texts[0][1] + " " + prose(9, 5))] * 500, plain.schema))
+    for a, b in zip(quality.fit(plain, labels), quality.fit(hot, labels)):
+        assert np.array_equal(a, b)
+
+
 def test_indicators_of_a_long_text_are_those_of_its_pieces(monkeypatch):
     text = prose(3000, 12)
     whole = quality.indicators(text)
