@@ -42,7 +42,23 @@ def svm_predict(spark, folder):
 def cross_validate(spark, folder):
     # The two kinds the published training times cover; the kernel machine's folds take minutes even on small tables.
     scores, _, _ = classify.cross_validate(vectors(spark, folder), ["random_forest", "mlp"])
-    return scores.select("classifier", r6("cv_mean").alias("cv_mean"), r6("cv_std").alias("cv_std"))
+    return _scores(scores)
+
+
+def _scores(scores):
+    return scores.select("classifier", *[r6(c).alias(c) for c in ("r1", "accuracy", "cv_mean", "cv_std")])
+
+
+def train_observations(spark, folder):
+    """All observations, encoded, as training rows of their place: forest and perceptron over three folds."""
+    o = cut(embed_observations(observations(spark, folder)).select("idx_global", "embedding", "spatial"), "training")
+    return _scores(classify.cross_validate(o, ["random_forest", "mlp"], label="spatial")[0])
+
+
+def fuzzy_edges(spark, folder):
+    """Symmetric weights of the cosine graph that layouts are made of, each pair once."""
+    graph = neighbours.knn_graph(vectors(spark, folder), 15, "cosine")
+    return reduce.fuzzy_edges(graph, [15], "idx_global").where("a < b").select("a", "b", r6("w").alias("w"))
 
 
 def predict_batch(spark, folder):
@@ -128,6 +144,20 @@ QUERIES = {
     "mlp_predict": (mlp_predict, None),
     "svm_predict": (svm_predict, None),
     "cross_validate": (cross_validate, None),
+    "train_observations": (train_observations, None),
+    # Bandwidths by bisection, row by row, until the weights of a list add up to log2 of its length.
+    "fuzzy_edges": (fuzzy_edges, f"with recursive {E_SQL}, near as (select a.id as id, b.id as nb, 1 - {_COS.format('a.v', 'b.v')} as d "
+                    f"from e a join e b on a.id <> b.id qualify row_number() over (partition by a.id order by {_COS.format('a.v', 'b.v')} desc, b.id) <= 15), "
+                    "gaps as materialized (select id, list(greatest(d - low, 0)) as g, max(d) as top from (select *, coalesce(min(d) filter (where d > 0) "
+                    "over (partition by id), 0) as low from near) group by id), "
+                    "half(id, i, lo, hi) as (select id, 0, 0.0::double, greatest(top, 1e-12) * 1e3 from gaps union all "
+                    "select id, i + 1, case when wide then lo else (lo + hi) / 2 end, case when wide then (lo + hi) / 2 else hi end from "
+                    "(select h.*, list_sum(list_transform(g, lambda x: exp(-x * 2 / (lo + hi)))) > log2(len(g)) as wide "
+                    "from half h join gaps using (id) where i < 60)), "
+                    "w as (select near.id as a, nb as b, exp(-greatest(d - low, 0) / hi) as w from (select *, coalesce(min(d) filter (where d > 0) "
+                    "over (partition by id), 0) as low from near) near join half on half.id = near.id and i = 60) "
+                    "select least(a, b) as a, greatest(a, b) as b, round(sum(w) - case when count(*) > 1 then max(w) * min(w) else 0 end, 6) + 0.0 as w "
+                    "from w group by 1, 2"),
     "predict_batch": (predict_batch, None),
     "reduce_layout": (reduce_layout, None),
     "pca_layout": (pca_layout, None),

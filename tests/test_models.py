@@ -41,6 +41,21 @@ def test_cross_validation_picks_the_best_mean(labelled):
     assert best == "random_forest" and row.cv_mean > 0.95 and row.cv_std >= 0
     accuracy, report = classify.evaluate(model, labelled)
     assert accuracy.first().accuracy > 0.95 and report.count() == 7
+    assert row.accuracy == accuracy.first().accuracy and 0.9 < row.r1 <= 1 and len(row.cv_scores) == 3
+
+
+def test_highest_mean_of_the_folds_wins_and_is_saved(spark, labelled, monkeypatch, tmp_path):
+    given = {"RandomForestClassifier": [0.5, 0.7, 0.6], "MultilayerPerceptronClassifier": [0.9, 0.4, 0.8]}
+    monkeypatch.setattr(classify, "_fold_scores", lambda estimator, rows, folds: given[type(estimator).__name__])
+    for _ in range(2):
+        scores, best, model = classify.cross_validate(labelled, ["random_forest", "mlp"])
+        classify.save_results(scores, best, str(tmp_path), "st1")
+    assert best == "mlp" and classify.evaluate(model, labelled)[0].first().accuracy > 0.9
+    rows = spark.read.parquet(str(tmp_path / "train_results")).collect()
+    assert len(rows) == 4 and {r.classifier_model: r.cv_scores for r in rows} == {
+        "random_forest": [0.5, 0.7, 0.6], "mlp": [0.9, 0.4, 0.8]}
+    info = spark.read.parquet(str(tmp_path / "classification_info")).collect()
+    assert [(r.best_model, round(r.best_score, 6), r.random_state) for r in info] == [("mlp", 0.7, 42)]
 
 
 def test_grid_size_and_table(spark):
