@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -63,14 +64,17 @@ def _name(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words))
 
 
-def occurrences(docs: DataFrame, min_words: int, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, text_key, line, name, n_words, keys`` of every paragraph: ``name`` is a 128-bit hash of its words."""
+Units = Callable[[str], Iterator[tuple[int, list[str]]]]
+
+
+def occurrences(docs: DataFrame, units: Units, k: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, text_key, line, name, n_words, keys`` of every unit of text: ``name`` is a 128-bit hash of its words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         source, line, name, size, keys, known = [], [], [], [], [], {}
         for i, text in enumerate(texts_of(batch)):
-            for at, words in paragraphs_of(text, min_words):
+            for at, words in units(text):
                 label = _name(words)
                 if label not in known:
                     known[label] = bands_of(shingle_set(words, k), bands, rows).view(np.int64)
@@ -87,8 +91,8 @@ def occurrences(docs: DataFrame, min_words: int, k: int, bands: int, rows: int)
                        f"doc_id {kind}, text_key long, line int, name binary, n_words int, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, k: int) -> DataFrame:
-    """``name, shingles`` of the paragraphs in ``wanted`` (name, doc_id, text_key, line: one occurrence each)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, units: Units, k: int) -> DataFrame:
+    """``name, shingles`` of the units in ``wanted`` (name, doc_id, text_key, line: one occurrence each)."""
     lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
     some = docs.select(F.col("doc_id").alias("of_id"), text_key(F.col("text")).alias("of_key"), "text").join(
         lists, F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_key") == F.col("text_key")))
@@ -97,7 +101,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, k: int) ->
         names, sets = [], []
         for text, lines in zip(texts_of(batch), batch.column("lines").to_pylist()):
             chosen = set(lines)
-            for at, words in paragraphs_of(text, min_words):
+            for at, words in units(text):
                 if at in chosen:
                     names.append(_name(words)), sets.append(shingle_set(words, k).view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["name", "shingles"])
@@ -199,16 +203,16 @@ def rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity
     return dealt.mapInArrow(search, "a binary, b binary").distinct()
 
 
-def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY,
-                      bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, text_key, line, name, n_words, comp, first`` of every paragraph that has a copy or near copy.
+def unit_components(docs: DataFrame, units: Units, k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS,
+                    rows: int = ROWS, **search) -> tuple[DataFrame, DataFrame]:
+    """Every unit of text (``occurrences``), and ``name, times, at, comp`` of every different one.
 
-    Equal paragraphs are merged first. Different ones that share a band key are
+    Equal units are merged first. Different ones that share a band key are
     compared with the most frequent one of the bucket, then, where a bucket is
-    not yet one component, with each other. ``comp`` names the component;
-    ``first`` marks its one occurrence that stays, the least (doc_id, text, line).
+    not yet one component, with each other. ``comp`` names the component, ``at``
+    is the least (doc_id, text, line) of the unit.
     """
-    found = cut(occurrences(docs, min_words, k, bands, rows), "paragraphs")
+    found = cut(occurrences(docs, units, k, bands, rows), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line")
     distinct = cut(found.groupBy("name").agg(F.first("keys").alias("keys"), F.count("*").alias("times"), F.min(place).alias("at")), "distinct")
     keyed = distinct.select("name", "times", F.explode("keys").alias("bucket"))
@@ -216,17 +220,27 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHIN
     members = cut(keyed.join(shared, "bucket"), "members")
     involved = members.select("name").distinct()
     wanted = distinct.join(involved, "name").select("name", "at.doc_id", "at.text_key", "at.line")
-    sets = cut(shingle_sets(docs, wanted, min_words, k), "sets")
+    sets = cut(shingle_sets(docs, wanted, units, k), "sets")
     links = cut(star_links(members, sets, similarity), "links")
     comps = connected_components(links)
-    rest = cut(rest_links(members, comps, sets, similarity), "rest")
+    rest = cut(rest_links(members, comps, sets, similarity, **search), "rest")
     if rest.limit(1).count():
         comps = connected_components(links.union(rest))
-    named = distinct.join(comps.withColumnRenamed("node", "name"), "name", "left").select(
+    return found.drop("keys"), distinct.join(comps.withColumnRenamed("node", "name"), "name", "left").select(
         "name", "times", "at", F.coalesce("comp", "name").alias("comp"))
+
+
+def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY,
+                      bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, text_key, line, name, n_words, comp, first`` of every paragraph that has a copy or near copy.
+
+    ``comp`` names the component (``unit_components``); ``first`` marks its one
+    occurrence that stays, the least (doc_id, text, line).
+    """
+    found, named = unit_components(docs, partial(paragraphs_of, min_words=min_words), k, similarity, bands, rows)
     groups = named.groupBy("comp").agg(F.sum("times").alias("members"), F.min("at").alias("stays")).where("members > 1")
     classed = cut(named.join(groups, "comp").select("name", "comp", "stays"), "classes")
-    return found.drop("keys").join(classed, "name").select(
+    return found.join(classed, "name").select(
         "doc_id", "text_key", "line", "name", "n_words", "comp",
         (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))
          & (F.col("line") == F.col("stays.line"))).alias("first"))

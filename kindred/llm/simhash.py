@@ -223,11 +223,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = WORDS, max_t
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component, that of the least doc_id (then text); all its columns.
+    """``docs`` with one row of each component, that of the least doc_id (then text); all its columns."""
+    return keep_least(docs, near_duplicates(docs, **options))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``comp`` of ``found`` (doc_id, text_key, comp of every row), that of the least doc_id (then text).
 
     Of rows equal in both one stays. Null ids come last in a component.
     """
-    found = near_duplicates(docs, **options)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("best")
     chosen = found.groupBy("comp").agg(best).select("best.doc_id", "best.text_key")
     rows = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
