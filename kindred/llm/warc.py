@@ -206,7 +206,8 @@ class Index:
             _, at, length = self.directory[number]
             with self.store.open_input_file(f"{self.base}/{self.part}.cdx.gz") as f:
                 data = f.read_at(length, at)
-            self.block = (number, gzip.decompress(data).decode().splitlines())
+            # Not splitlines(): a key may hold U+0085, U+2028 or U+2029.
+            self.block = (number, gzip.decompress(data).decode().removesuffix("\n").split("\n"))
         return self.block[1]
 
     def find(self, part: str, key: str) -> Iterator[tuple[str, int, int]]:
