@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import map_batches, table, text_key, texts_of
 from kindred.llm.components import connected_components
-from kindred.llm.lines import words_of
+from kindred.llm.lines import _WORD, words_of
 from kindred.llm.simhash import merge
 from kindred.session import cut
 
@@ -23,6 +23,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 MIN_WORDS = 20
 BLOCK = 2048
+#: A piece ends at the least hash of the word pairs within so many words on both sides.
+REACH = 6
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
 
 
@@ -246,41 +248,163 @@ def paragraph_classes(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHIN
          & (F.col("line") == F.col("stays.line"))).alias("first"))
 
 
+def segments(text: str, min_words: int) -> Iterator[tuple[int, str]]:
+    """(first line number, text) of every paragraph, and of every run of shorter lines that has ``min_words`` in all."""
+    run, held = [], 0
+    for i, line in enumerate([*text.split("\n"), None]):
+        n = min_words if line is None else len(words_of(line))
+        if n < min_words:
+            run.append(line)
+            held += n
+            continue
+        if held >= min_words:
+            yield i - len(run), "\n".join(run)
+        run, held = [], 0
+        if line is not None:
+            yield i, line
+
+
+def piece_starts(words: list[str]) -> np.ndarray:
+    """Numbers of the words that begin a piece: where words say so, not where the segment begins.
+
+    A piece ends where the hash of the words on both sides is the least within
+    ``REACH`` words, sentence ends before all others. So a passage is cut alike
+    wherever it stands, but for its edges.
+    """
+    if len(words) < 2:
+        return np.zeros(min(1, len(words)), np.int64)
+    score = np.fromiter((xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 | (0 if a[-1] in ".!?" else 1 << 63)
+                         for a, b in zip(words, words[1:])), np.uint64, len(words) - 1)
+    least = np.ones(len(score), bool)
+    for d in range(1, min(REACH + 1, len(score))):
+        least[d:] &= score[d:] < score[:-d]
+        least[:-d] &= score[:-d] <= score[d:]
+    return np.concatenate([[0], np.flatnonzero(least) + 1])
+
+
+def pieces(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, text_key, line, word, name`` of every piece of every segment; ``word`` is the number of its first word there."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        source, line, word, name = [], [], [], []
+        for i, text in enumerate(texts_of(batch)):
+            for at, segment in segments(text, min_words):
+                words = words_of(segment.lower())
+                starts = piece_starts(words).tolist()
+                for a, b in zip(starts, [*starts[1:], len(words)]):
+                    source.append(i), line.append(at), word.append(a), name.append(_name(words[a:b]))
+        rows_in = pa.array(source, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(rows_in), batch.column("text_key").take(rows_in), pa.array(line, pa.int32()),
+             pa.array(word, pa.int32()), pa.array(name, pa.binary())], ["doc_id", "text_key", "line", "word", "name"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):  # a few texts at a time: they have many pieces
+                yield part(batch.slice(at, 256))
+
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(
+        work, f"doc_id {kind}, text_key long, line int, word int, name binary")
+
+
+def repeated_pieces(docs: DataFrame, removed: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, text_key, line, word`` of every piece that occurred before, outside the lines ``removed`` (doc_id, text_key, line)."""
+    found = cut(pieces(docs, min_words), "pieces")
+    names = found.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
+    again = cut(found.join(names, "name"), "again")
+    gone = removed.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), F.col("line").alias("of_line"))
+    live = cut(again.join(gone, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+                          & (F.col("line") == F.col("of_line")), "left_anti"), "live")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line", "word")
+    first = live.groupBy("name").agg(F.min(place).alias("stays"))
+    return live.withColumn("place", place).join(first, "name").where("not (place <=> stays)").select("doc_id", "text_key", "line", "word")
+
+
+def without_pieces(segment: str, gone: set[int], min_words: int) -> tuple[str, int]:
+    """The segment without its runs of repeated pieces of ``min_words`` or more in all, and how many runs went."""
+    words = words_of(segment.lower())
+    starts = piece_starts(words).tolist()
+    runs: list[list[int]] = []
+    for a, b in zip(starts, [*starts[1:], len(words)]):
+        if a in gone:
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+    runs = [x for x in runs if x[1] - x[0] >= min_words]
+    if not runs:
+        return segment, 0
+    spans, at, out = [m.span() for m in _WORD.finditer(segment)], 0, []
+    for a, b in runs:
+        out.append(segment[at:spans[a][0]])
+        at = spans[b][0] if b < len(spans) else spans[b - 1][1]
+    return "".join(out) + segment[at:], len(runs)
+
+
+def cleaned_text(text: str, lines: set[int], gone: dict[int, set[int]], min_words: int) -> tuple[str, int]:
+    """The text without ``lines`` and without repeated pieces (first line -> first words), and the runs of pieces that went."""
+    if not gone:
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in lines) if lines else text, 0
+    held, size, runs = dict(enumerate(text.split("\n"))), {}, 0
+    for at, segment in segments(text, min_words):
+        size[at] = segment.count("\n") + 1
+        if at in gone and at not in lines:
+            rest, n = without_pieces(segment, gone[at], min_words)
+            if n:
+                runs += n
+                for i in range(at, at + size[at]):
+                    del held[i]
+                if rest.strip():
+                    held[at] = rest
+    return "\n".join(held[i] for i in sorted(held) if i not in lines), runs
+
+
 def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY,
                      bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_paragraphs, n_removed, n_bytes, n_removed_bytes, class_ids, cleaned`` of every row of ``docs``.
 
-    Paragraphs are lines; those of ``min_words`` words or more are compared by
+    Paragraphs are lines of ``min_words`` words or more, compared by
     the Jaccard similarity of their distinct lower-cased ``k``-word shingles.
     Bands are tuned for recall (``recall(0.8)`` is 0.998), candidates verified
     exactly, and of each component all but the first occurrence are removed
     (``class_ids``: 64-bit names of the document's components, sorted; also of one that stays).
-    Shorter lines are left alone. Null or empty text: no paragraphs, empty
+    What stays, runs of shorter lines included, is cut into pieces where its words
+    say so (``piece_starts``); of pieces equal in lower-cased words all but the
+    first go, if those side by side have ``min_words`` words or more. Each such
+    run counts once in ``n_removed``. Null or empty text: no paragraphs, empty
     ``cleaned``. Equal rows share one result: the first occurrence stays in each
     of them. Null ids come last in the order of occurrences. Other columns are
     not read; an empty table gives an empty table.
     """
-    classes = paragraph_classes(docs, min_words, k, similarity, bands, rows)
+    classes = cut(paragraph_classes(docs, min_words, k, similarity, bands, rows), "lines")
+    pieces_gone = repeated_pieces(docs, classes.where("not first"), min_words).groupBy(
+        F.col("doc_id").alias("for_id"), F.col("text_key").alias("for_key")).agg(
+        F.collect_set(F.struct("line", "word")).alias("pieces"))
     per_doc = classes.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(
         F.collect_set(F.when(~F.col("first"), F.col("line"))).alias("lines"),
         F.sort_array(F.collect_set(F.xxhash64("comp"))).alias("class_ids"))
+    removals = per_doc.join(pieces_gone, F.col("of_id").eqNullSafe(F.col("for_id")) & (F.col("of_key") == F.col("for_key")), "full").select(
+        F.coalesce("of_id", "for_id").alias("of_id"), F.coalesce("of_key", "for_key").alias("of_key"), "lines", "pieces", "class_ids")
     joined = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").join(
-        cut(per_doc, "removals"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
+        cut(removals, "removals"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], [], []]
-        for text, gone in zip(texts_of(batch), batch.column("lines").to_pylist()):
-            lines, gone = text.split("\n"), set(gone or ())
-            cleaned = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
-            for column, value in zip(out, (sum(1 for _ in paragraphs_of(text, min_words)), len(gone), len(text.encode()),
+        for text, lines, again in zip(texts_of(batch), batch.column("lines").to_pylist(), batch.column("pieces").to_pylist()):
+            lines, gone = set(lines or ()), {}
+            for piece in again or ():
+                gone.setdefault(piece["line"], set()).add(piece["word"])
+            cleaned, runs = cleaned_text(text, lines, gone, min_words)
+            for column, value in zip(out, (sum(1 for _ in paragraphs_of(text, min_words)), len(lines) + runs, len(text.encode()),
                                            len(text.encode()) - len(cleaned.encode()), cleaned)):
                 column.append(value)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:4]), batch.column("class_ids"), pa.array(out[4], pa.string())],
             ["doc_id", "n_paragraphs", "n_removed", "n_bytes", "n_removed_bytes", "class_ids", "cleaned"])
 
-    return map_batches(joined.select("doc_id", "text", "lines", F.coalesce("class_ids", F.array().cast("array<long>")).alias("class_ids")), work,
+    return map_batches(joined.select("doc_id", "text", "lines", "pieces", F.coalesce("class_ids", F.array().cast("array<long>")).alias("class_ids")), work,
                        f"doc_id {kind}, n_paragraphs long, n_removed long, n_bytes long, n_removed_bytes long, "
                        "class_ids array<long>, cleaned string")
 
