@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.session import ship_package
@@ -39,3 +39,11 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.Table | pa.Re
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def best_rows(df: DataFrame, by: list[str], order: list[Column], n: int, spread: Column, salts: int = 32) -> DataFrame:
+    """The first ``n`` rows of each group with their ``rank``; rows of a hot group meet in ``salts`` parts first, dealt by ``spread``."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    for keys in ([*by, "_salt"], by):
+        salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    return salted.drop("_salt")

@@ -1,6 +1,7 @@
 """Registered queries of the training-text operators, with their SQL where SQL can say it."""
 
-from kindred.llm import decontaminate, lines, mix, paragraphs, quality, shard, simhash, suffixes, tokens, warc
+from kindred.llm import (decontaminate, lexical, lines, mix, paragraphs, phrases, quality, shard, simhash, suffixes,
+                         tokens, topk, warc)
 
 QUERIES = {
     "op1_token_counts": (tokens.op1_token_counts, None),
@@ -13,4 +14,7 @@ QUERIES = {
     "op8_simhash_dedup": (simhash.op8_simhash_dedup, None),
     "op9_shard_rows": (shard.op9_shard_rows, shard.SQL),
     "op10_decontaminate": (decontaminate.op10_decontaminate, None),
+    "op11_lexical_search": (lexical.op11_lexical_search, lexical.SQL),
+    "op12_exact_topk": (topk.op12_exact_topk, topk.SQL),
+    "op13_phrase_mining": (phrases.op13_phrase_mining, phrases.SQL),
 }
