@@ -1,8 +1,9 @@
-"""Exact nearest-neighbour joins: global, inside a group, and as a graph."""
+"""Nearest-neighbour joins: global, inside a group, and as a graph."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -122,7 +123,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
              by: str | None = None, id_col: str = "idx_global", vec_col: str = "embedding",
              query_id: str = "query_id", query_vec: str = "embedding",
              exclude_self: bool = False, pivots: int | None = None,
-             tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+             tile_rows: int = tiles.TILE_ROWS, search: Callable[..., DataFrame] | None = None) -> DataFrame:
     """The ``k`` nearest corpus rows of every query row, exactly.
 
     Order is distance, then corpus id. ``by`` limits a query to the corpus rows
@@ -136,6 +137,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     distance found there bounds which other cells can hold anything nearer
     (triangle inequality). Cells beyond the bound are skipped, with the same
     result as a full search.
+
+    ``search`` takes the place of the tile pairs: ``cells.grid_pairs`` (exact, for few
+    dimensions) or ``inverted.probing(...)`` (approximate). It gets the different
+    vectors of both sides, the group columns, k, the metric and the rows of a tile.
     """
     group = ["g"] if by else []
     head = [F.col(by).alias("g")] if by else []
@@ -148,8 +153,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     vectors = tiles.write_distinct(c, group, "c_id", "c_vec", "knn-corpus")
     asked, stored = reps.select(*group, "id", "q_vec"), vectors.select(*group, "id", "c_vec")
     # Row counts come off the file footers.
-    n_q, n_c = (0, 0) if by else (reps.count(), vectors.count())
-    if pivots is not None and pivots > 1 and not by and n_c:
+    n_q, n_c = (0, 0) if by or search else (reps.count(), vectors.count())
+    if search:
+        best = search(asked, stored, group, need, metric, tile_rows)
+    elif pivots is not None and pivots > 1 and not by and n_c:
         best = _pruned_pairs(asked, stored, need, metric, min(pivots, MAX_PIVOTS), tile_rows)
     else:
         c_slots = _slot_counts(stored, group, tile_rows, n_c)

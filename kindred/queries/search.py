@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.operators import classify, exact, graph, neighbours, reduce
+from kindred.operators import cells, classify, exact, graph, inverted, neighbours, reduce
 from kindred.sources.observations import fetch_rows
 from kindred.plans import prediction
 from kindred.queries.tables import E_SQL, load, r6, vectors
@@ -13,6 +13,7 @@ from kindred.queries.text import _ngram_sql
 K = 15
 MIN_SAMPLES = 5
 EPS = 1.15
+INVERTED_PROBES = 16
 
 
 def _as_queries(df):
@@ -146,6 +147,36 @@ def _first_coords(e, n):
     return e.select("idx_global", F.slice(F.col("embedding").cast("array<double>"), 1, n).alias("coords"))
 
 
+def _low(spark, folder):
+    """Coordinates of few dimensions, as layouts have."""
+    e = vectors(spark, folder)
+    return _first_coords(e, 3).withColumnRenamed("coords", "embedding").join(e.select("idx_global", "label"), "idx_global")
+
+
+def grid_core(spark, folder):
+    """Distance to the tenth neighbour in three dimensions, by cells."""
+    near = neighbours.knn_graph(_low(spark, folder), 10, "euclidean", search=cells.grid_pairs, tile_rows=64)
+    return neighbours.core_distance(near, 10).select("idx_global", r6("core").alias("core"))
+
+
+def grid_groups(spark, folder):
+    """The five nearest of the own label in three dimensions, by cells of each label."""
+    near = neighbours.knn_graph(_low(spark, folder), 5, "euclidean", by="label", search=cells.grid_pairs, tile_rows=32)
+    return near.select("idx_global", "label", "rank", r6("dist").alias("dist"))
+
+
+def inverted_full(spark, folder):
+    """The neighbour graph by inverted lists, all lists read: nothing is missed."""
+    near = neighbours.knn_graph(vectors(spark, folder), K, "euclidean", search=inverted.probing(probes=6, cells=6), tile_rows=128)
+    return near.select("idx_global", "rank", r6("dist").alias("dist"))
+
+
+def inverted_recall(spark, folder):
+    """How much of the exact neighbour graph inverted lists find, by rank."""
+    found = neighbours.knn_graph(vectors(spark, folder), K, "euclidean", search=inverted.probing(probes=INVERTED_PROBES), tile_rows=128)
+    return inverted.recall(found, _graph(spark, folder)).select("rank", "n", "found", "recall")
+
+
 def cluster_map(spark, folder):
     e = vectors(spark, folder)
     made = reduce.cluster_map(_first_coords(e, 2), e.select("idx_global", F.col("cl").alias("label")), 0.05)
@@ -164,6 +195,8 @@ _COS = "list_cosine_similarity({}, {})"
 _MOVED = "list_transform(v, lambda x: (x + 0.01)::float::double)"
 _NEAR = ("near as (select a.id as id, b.id as nb, list_distance(a.v, b.v) as d, row_number() over "
          f"(partition by a.id order by list_distance(a.v, b.v), b.id) as rank from e a join e b on a.id <> b.id qualify rank <= {K})")
+_LOW = ("low as (select id, label, v[1:3] as v from e), near as (select a.id as id, a.label as label, list_distance(a.v, b.v) as d, "
+        "row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as rank from low a join low b on {} qualify rank <= {})")
 _CORE = f"core as (select id, d as c from near where rank = {MIN_SAMPLES})"
 _EDGES = ("edges as (select a, b, greatest(x.c, y.c, d) as w from (select least(id, nb) as a, greatest(id, nb) as b, "
           "min(d) as d from near group by 1, 2) join core x on x.id = a join core y on y.id = b)")
@@ -244,6 +277,12 @@ QUERIES = {
                         "join steps s on s.x = r.x and s.o < r.o) "
                         "select a, b, w from ordered where not exists "
                         "(select 1 from reach r where r.o = ordered.o and r.x = ordered.b)"),
+    "grid_core": (grid_core, f"with {E_SQL}, {_LOW.format('a.id <> b.id', 10)} select id as idx_global, round(d, 6) + 0.0 as core "
+                  "from near where rank = 10"),
+    "grid_groups": (grid_groups, f"with {E_SQL}, {_LOW.format('a.id <> b.id and a.label = b.label', 5)} select id as idx_global, "
+                    "label, rank, round(d, 6) + 0.0 as dist from near"),
+    "inverted_full": (inverted_full, f"with {E_SQL}, {_NEAR} select id as idx_global, rank, round(d, 6) + 0.0 as dist from near"),
+    "inverted_recall": (inverted_recall, None),
     "cluster_map": (cluster_map, f"with {E_SQL} select floor(v[1] / 0.05)::bigint as x_bin, floor(v[2] / 0.05)::bigint as y_bin, "
                     "cl as label, count(*) as n, cl = -1 as is_noise from e group by 1, 2, cl"),
     "place_new": (place_new, f"with {E_SQL}, q as (select id, {_MOVED} as v from e), near as (select q.id as id, b.v as bv, "
