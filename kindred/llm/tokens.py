@@ -17,6 +17,9 @@ from kindred.llm.common import map_batches, table, texts_of
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
+#: Documents (about) that the list of frequent pre-tokens is made from, and the tasks that count them.
+SAMPLE, SAMPLE_TASKS = 1 << 13, 8
+
 # Letters, marks and signs whose lower case, composition and class are the same in every Unicode version in use.
 _PLAIN = regex.compile("[\x00-\x1b\x20-˿‐-…€]*+")
 _PRE = regex.compile(PRE_TOKEN)
@@ -102,12 +105,12 @@ def counting(path: str, version: str, frequent: dict[str, int]) -> Counting:
     return _COUNTING[path, version]
 
 
-def frequent_pre_tokens(docs: DataFrame, top: int, per_task: int) -> list[str]:
-    """About the ``top`` most frequent pre-tokens of all texts.
+def frequent_pre_tokens(docs: DataFrame, top: int, sample: int) -> list[str]:
+    """About the ``top`` most frequent pre-tokens, judged by about ``sample`` documents drawn with a fixed seed.
 
-    Each task counts its texts in a bounded table (the rare half goes whenever
-    it is full) and sends at most ``per_task`` pre-tokens on; those few are
-    added up. The list only decides what is looked up fast, never a result.
+    The drawn texts are dealt to ``SAMPLE_TASKS`` tasks, each of which counts its
+    share and sends its ``top`` pre-tokens; the driver adds these few lists up.
+    The list only decides what is looked up fast, never a result.
     """
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -115,31 +118,36 @@ def frequent_pre_tokens(docs: DataFrame, top: int, per_task: int) -> list[str]:
             for text in texts_of(batch):
                 if plain(text):
                     seen.update(_PRE.findall(text.lower()))
-                if len(seen) > 64 * per_task:
-                    seen = Counter(dict(seen.most_common(32 * per_task)))
-        best = seen.most_common(per_task)
+                if len(seen) > 64 * top:
+                    seen = Counter(dict(seen.most_common(32 * top)))
+        best = seen.most_common(top)
         yield pa.RecordBatch.from_arrays(
             [pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["piece", "n"])
 
-    counts = docs.select("text").mapInArrow(summarise, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r["piece"] for r in counts.orderBy(F.desc("n"), "piece").limit(top).collect()]
+    rows = docs.count()  # of Parquet tables: read off the footers
+    drawn = docs.select("text").sample(min(1.0, sample / max(rows, 1)), seed=1).repartition(SAMPLE_TASKS)
+    seen: Counter = Counter()
+    for r in drawn.mapInArrow(summarise, "piece string, n long").collect():
+        seen[r["piece"]] += r["n"]
+    return sorted(seen, key=lambda p: (-seen[p], p))[:top]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, top: int = 1 << 14,
-                 per_task: int = 1 << 12) -> DataFrame:
+                 sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
     Tokens are those of the vocabulary file at ``path`` by its library, without
     begin, end or added special tokens; special strings inside a text count as
     one token each, as the library takes them. The lengths of the ``top`` most
-    frequent pre-tokens are broadcast (at most ``top`` strings); misses are encoded
-    once per worker and kept in a bounded cache. No pre-token is shuffled. Null
+    frequent pre-tokens of about ``sample`` documents are broadcast (at most ``top``
+    strings); misses are encoded once per worker and kept in a bounded cache.
+    No pre-token is shuffled; of texts only the drawn ones are, once. Null
     or empty text: 0 bytes, 0 tokens, within the limit. Repeated rows and null
     ids are counted like others; other columns are not read; an empty table
     gives an empty table. Memory holds one Arrow batch and the pieces of one text.
     """
     path = path or default_path()
-    pieces = frequent_pre_tokens(docs, top, per_task)
+    pieces = frequent_pre_tokens(docs, top, sample)
     first = Counting(path, {})
     shared = docs.sparkSession.sparkContext.broadcast({p: first.lengths[p] for p in pieces})
     version = f"{docs.sparkSession.sparkContext.applicationId}-{shared._jbroadcast.id()}"

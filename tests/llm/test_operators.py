@@ -57,7 +57,7 @@ def test_token_counts_are_the_librarys(docs, empty):
     for i, t in TEXTS:
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         want.append((i, len((t or "").encode()), n, n > 2048))
-    same(tokens.token_counts(docs, top=50, per_task=50).collect(), want)
+    same(tokens.token_counts(docs, top=50, sample=8).collect(), want)
     assert tokens.token_counts(empty).collect() == []
 
 
