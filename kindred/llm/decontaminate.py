@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import table, text_key
@@ -33,9 +33,9 @@ def fingerprint(sh: str, most: int) -> Column:
     """SimHash of the array ``sh`` of at most ``most`` hashes: a bit is 1 if over half of them have it.
 
     A long holds several counters, as wide as ``most`` needs; lane i counts the
-    bits i, i + width, ... at once.
+    bits i, i + width, ... at once. The topmost counter leaves the sign bit free.
     """
-    width = 8 if most < 1 << 8 else 16 if most < 1 << 16 else 32
+    width = 8 if most < 1 << 7 else 16 if most < 1 << 15 else 32
     ones = _long(sum(1 << at for at in range(0, 64, width)))
     lanes = ", ".join(f"aggregate({sh}, 0L, (x, h) -> x + (shiftrightunsigned(h, {i}) & {ones})) as lane{i}" for i in range(width))
     bits = [(f"shiftrightunsigned(one.lane{i}, {at}) & {(1 << width) - 1}L", 1 << (i + at)) for i in range(width) for at in range(0, 64, width)]
@@ -47,20 +47,16 @@ def _long(value: int) -> str:
     return "(-9223372036854775807L - 1L)" if value == 1 << 63 else f"{value}L"
 
 
-def _cuts(radius: int) -> list[tuple[int, int]]:
-    """(first bit, mask) of radius + 1 blocks of 64 bits."""
-    out, at = [], 0
-    for i in range(radius + 1):
-        width = (64 - at) // (radius + 1 - i)
-        out.append((at, (1 << width) - 1))
-        at += width
-    return out
+def blocks(fp: str) -> Column:
+    """The four 16-bit blocks of a fingerprint as rows ``block, value``."""
+    return F.expr("explode(array(" + ", ".join(
+        f"struct({i} as block, cast(shiftrightunsigned({fp}, {16 * i}) & 65535L as int) as value)" for i in range(4)) + "))")
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint: two within ``radius`` bits agree in one of them at least."""
-    return F.expr("explode(array(" + ", ".join(
-        f"struct({i} as block, shiftrightunsigned({fp}, {at}) & {mask}L as value)" for i, (at, mask) in enumerate(_cuts(radius))) + "))")
+def reached(b: Column, radius: int) -> Column:
+    """The values of a block within radius / 4 bits: fingerprints within ``radius`` bits are so near in one block at least."""
+    near = [m for m in range(1 << 16) if m.bit_count() <= radius // 4]
+    return F.explode(F.transform(F.lit(np.array(near, np.int32)), lambda m: b["value"].bitwiseXOR(m)))
 
 
 def benchmark_items(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -104,13 +100,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     """``doc_id, text_key, item_id, similarity``: the best window of every document for every item it holds.
 
     A window has as many words as the item (the whole document, if it is shorter).
-    Windows that share no shingle with an item have similarity 0, so those that
-    share one are formed: all of them, at every start. They and the items get
-    SimHash fingerprints; fingerprints within ``radius`` bits meet in one of
-    radius + 1 blocks; the candidates' similarity is then computed exactly: the
-    weight of a shingle is its count, similarity the sum of the lesser weights
-    over the sum of the greater. At similarity 0.8 two fingerprints differ in
-    about 10 of 64 bits, 20 is over three standard deviations away.
+    Windows that share no shingle with any item have similarity 0, so those that
+    share one with an item of their size are formed: all of them, at every start,
+    once. Different fingerprints of windows are looked up in a multi-index of the
+    items: four 16-bit blocks, each entered under all values within radius / 4
+    bits, which finds every item of the window's size within ``radius`` bits. The
+    similarity of these pairs is then computed exactly: the weight of a shingle is
+    its count, similarity the sum of the lesser weights over the sum of the
+    greater. At similarity 0.8 two fingerprints differ in about 10 of 64 bits, 20
+    is over three standard deviations away.
 
     Items' shingles, up to ``MAX_FILTER`` different ones, are put into a bit
     filter of fixed size that drops documents without any, in the scan; with
@@ -147,31 +145,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     positions = chunks.select("doc", "k", "words", "total", "first", "own", F.posexplode("sh").alias("at", "h")).withColumn(
         "at", F.col("at") + F.col("first"))
     own = positions.where(f"at >= own and at < own + {step}")
-    hits = own.join(marks.select("h", "k", "item", "n").distinct(), ["h", "k"])
-    # All starts of windows of n shingles that contain the hit and lie in the document.
+    hits = own.join(marks.select("h", "k", "n").distinct(), ["h", "k"])
+    # All starts of windows of n shingles that contain a hit and lie in the document: each hit adds those after the hit before.
     last = "greatest(total - n, 0)"
-    windows = cut(hits.select("doc", "item", "k", "n", "total", F.explode(F.expr(
-        f"sequence(least(greatest(at - n + 1, 0), {last}), least(at, {last}))")).alias("start")).distinct(), "windows")
-    window = ["doc", "item", "start"]
-    # A window lies in the chunk its start is in.
-    placed = windows.withColumn("own", F.floor(F.col("start") / step).cast("int") * step)
-    formed = placed.join(chunks.select("doc", "own", "first", "sh"), ["doc", "own"]).select(
-        *window, F.expr("slice(sh, start - first + 1, n)").alias("sh")).withColumn("fp", fingerprint("sh", most))
-    # Fingerprints of windows and items, blocks, and the pairs within the radius.
-    item_prints = items.select("item", fingerprint("sh", most).alias("item_fp"))
-    met = formed.withColumn("b", blocks("fp", radius)).join(
-        item_prints.select("item", "item_fp", blocks("item_fp", radius).alias("b")), ["item", "b"]).where(
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    # A pair that agrees in several blocks counts at the first of them.
-    earlier = " or ".join(f"(b.block > {i} and shiftrightunsigned(fp, {at}) & {m}L = shiftrightunsigned(item_fp, {at}) & {m}L)"
-                          for i, (at, m) in enumerate(_cuts(radius)))
-    near = cut(met.where(f"not ({earlier})").select(*window, "sh"), "near")
+    before = F.lag("at").over(Window.partitionBy("doc", "k", "n").orderBy("at"))
+    starts = hits.withColumn("before", F.coalesce(before, F.lit(-1))).select("doc", "k", "n", F.expr(
+        f"least(greatest(at - n + 1, before + 1, 0), {last}) as low"), F.expr(f"least(at, {last}) as high"), F.expr(f"least(before, {last}) as done"))
+    windows = cut(starts.where("high > done").select(
+        "doc", "k", "n", F.explode(F.expr("sequence(greatest(low, done + 1), high)")).alias("start")), "windows")
+    window = ["doc", "k", "n", "start"]
+
+    def with_shingles(starting: DataFrame) -> DataFrame:
+        """Windows with their shingles ``sh``: a window lies in the chunk its start is in."""
+        return starting.withColumn("own", F.floor(F.col("start") / step).cast("int") * step).join(
+            chunks.select("doc", "k", "own", "first", "sh"), ["doc", "k", "own"]).select(
+            *starting.columns, F.expr("slice(sh, start - first + 1, n)").alias("sh"))
+
+    formed = cut(with_shingles(windows).select(*window, fingerprint("sh", most).alias("fp")), "formed")
+    # Different fingerprints of windows meet the items of their size by block.
+    prints = formed.select("k", "n", "fp").distinct().withColumn("b", blocks("fp")).select("k", "n", "fp", "b.block", "b.value")
+    index = items.select("item", "k", "n", fingerprint("sh", most).alias("item_fp")).withColumn("b", blocks("item_fp")).select(
+        "item", "k", "n", "item_fp", "b.block", reached(F.col("b"), radius).alias("value"))
+    pairs = prints.join(index, ["k", "n", "block", "value"]).where(
+        F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("k", "n", "fp", "item").distinct()
+    near = with_shingles(cut(formed.join(cut(pairs, "pairs"), ["k", "n", "fp"]).select(*window, "item"), "near"))
+    window = [*window, "item"]
     weights = near.select(*window, F.size("sh").alias("held"), F.explode("sh").alias("h")).groupBy(*window, "held", "h").agg(
         F.count("*").alias("weight"))
-    item_weights = marks.groupBy("item", "n", "h").agg(F.count("*").alias("item_weight")).withColumnRenamed("n", "item_n")
-    common = weights.join(item_weights, ["item", "h"]).groupBy(*window, "held", "item_n").agg(
+    item_weights = marks.groupBy("item", "h").agg(F.count("*").alias("item_weight"))
+    common = weights.join(item_weights, ["item", "h"]).groupBy(*window, "held").agg(
         F.sum(F.least("weight", "item_weight")).alias("common"))
-    best = common.withColumn("similarity", F.col("common") / (F.col("held") + F.col("item_n") - F.col("common"))).where(
+    best = common.withColumn("similarity", F.col("common") / (F.col("held") + F.col("n") - F.col("common"))).where(
         F.col("similarity") >= similarity).groupBy("doc", "item").agg(F.max("similarity").alias("similarity"))
     names = chunks.select("doc", "doc_id", "text_key").distinct()
     return best.join(names, "doc").join(items.select("item", "item_id"), "item").select(
