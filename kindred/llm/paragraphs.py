@@ -33,31 +33,75 @@ def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity ** rows) ** bands
 
 
-def shingle_set(words: list[str], k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the runs of k words (fewer words: of all of them)."""
-    joined = [" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))]
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in joined), np.uint64, len(joined)))
+#: Words whose hashes are worked on at once: arrays of this length stay in a core's cache.
+STRIP = 1 << 15
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def marked_hashes(words: list[str]) -> np.ndarray:
+    """Hashes whose last bit marks the words that end a sentence."""
+    ends = np.fromiter((w[-1] in ".!?" for w in words), np.uint64, len(words))
+    return word_hashes(words) & ~np.uint64(1) | ends
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
-def bands_of(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band: the least values of ``rows`` hash functions, folded."""
-    n = bands * rows
-    least = np.full(n, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), 4096):
-        h = shingles[at:at + 4096, None] * _SEEDS[0, :n] + _SEEDS[1, :n]
-        h ^= h >> np.uint64(32)
-        np.minimum(least, (h * np.uint64(0x9E3779B97F4A7C15)).min(axis=0), out=least)
-    key = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, rows).T:
-        key = (key ^ column) * np.uint64(0xC2B2AE3D27D4EB4F)
-        key ^= key >> np.uint64(29)
-    return key
+def shingles_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words, repeats included (fewer words: of all of them), rolled out of the words' hashes."""
+    k = max(1, min(k, len(hashes)))
+    rolled = np.zeros(max(1, len(hashes) - k + 1), np.uint64)
+    for i in range(min(k, len(hashes))):
+        rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + hashes[i:i + len(rolled)]
+    return _mixed(rolled + np.uint64(k))
+
+
+def shingle_set(words: list[str], k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the runs of k words (fewer words: of all of them)."""
+    return np.unique(shingles_of(word_hashes(words), k))
+
+
+def strips(units: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Consecutive units of about ``STRIP`` values in all; a longer one is alone."""
+    some, size = [], 0
+    for unit in units:
+        if some and size + len(unit) > STRIP:
+            yield some
+            some, size = [], 0
+        some.append(unit)
+        size += len(unit)
+    if some:
+        yield some
+
+
+def bands_of(hashes: list[np.ndarray], k: int, bands: int, rows: int) -> np.ndarray:
+    """For every unit (its words' hashes) one 64-bit key per band: the least values of ``rows`` hash functions, folded."""
+    out = [np.zeros((0, bands), np.uint64)]
+    for units in strips(hashes):
+        shingles = [shingles_of(h, k) for h in units]
+        flat, starts = np.concatenate(shingles), np.cumsum([0, *map(len, shingles[:-1])])
+        least = np.empty((bands * rows, len(units)), np.uint64)
+        for i in range(bands * rows):
+            h = flat * _SEEDS[0, i]  # odd factors; the shingles are mixed already
+            h += _SEEDS[1, i]
+            least[i] = np.minimum.reduceat(h, starts)
+        key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(units), 1))
+        for r in range(rows):
+            key = (key ^ least[r::rows].T) * np.uint64(0xC2B2AE3D27D4EB4F)
+            key ^= key >> np.uint64(29)
+        out.append(key)
+    return np.concatenate(out)
 
 
 def paragraphs_of(text: str, min_words: int) -> Iterator[tuple[int, list[str]]]:
     """(line number, lower-cased words) of every line of ``min_words`` or more words."""
-    for i, line in enumerate(text.split("\n")):
-        words = words_of(line.lower())
+    for i, line in enumerate(text.lower().split("\n")):
+        words = words_of(line)
         if len(words) >= min_words:
             yield i, words
 
@@ -73,24 +117,30 @@ def occurrences(docs: DataFrame, units: Units, k: int, bands: int, rows: int) ->
     """``doc_id, text_key, line, name, n_words, keys`` of every unit of text: ``name`` is a 128-bit hash of its words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        source, line, name, size, keys, known = [], [], [], [], [], {}
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        source, line, name, size, which, fresh, known = [], [], [], [], [], [], {}
         for i, text in enumerate(texts_of(batch)):
             for at, words in units(text):
                 label = _name(words)
                 if label not in known:
-                    known[label] = bands_of(shingle_set(words, k), bands, rows).view(np.int64)
-                source.append(i), line.append(at), name.append(label), size.append(len(words)), keys.append(known[label])
+                    known[label] = len(fresh)
+                    fresh.append(word_hashes(words))
+                source.append(i), line.append(at), name.append(label), size.append(len(words)), which.append(known[label])
         rows_in = pa.array(source, pa.int64())
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
+        keys = bands_of(fresh, k, bands, rows)[np.array(which, np.int64)].view(np.int64)
+        ends = pa.array(np.arange(len(which) + 1, dtype=np.int32) * bands)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(rows_in), batch.column("text_key").take(rows_in), pa.array(line, pa.int32()),
-             pa.array(name, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, flat)],
+             pa.array(name, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))],
             ["doc_id", "text_key", "line", "name", "n_words", "keys"])
 
-    return map_batches(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text"), work,
-                       f"doc_id {kind}, text_key long, line int, name binary, n_words int, keys array<long>")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):  # a few texts at a time: each has the hashes of its words in memory
+                yield part(batch.slice(at, 256))
+
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(
+        work, f"doc_id {kind}, text_key long, line int, name binary, n_words int, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, units: Units, k: int) -> DataFrame:
@@ -117,8 +167,11 @@ def _jaccard(a: str, b: str):
 
 
 def star_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of members to the most frequent paragraph of each of their buckets, verified exactly."""
-    hub = members.groupBy("bucket").agg(F.max(F.struct("times", "name")).alias("hub"))
+    """Links of members to the most frequent paragraph of each of their buckets, verified exactly.
+
+    The table of these is written, so a hot bucket's members are a skewed join that Spark splits.
+    """
+    hub = cut(members.groupBy("bucket").agg(F.max(F.struct("times", "name")).alias("hub")), "hubs")
     pairs = members.join(hub.select("bucket", F.col("hub.name").alias("hub")), "bucket").where("name <> hub").select(
         F.col("name").alias("a"), F.col("hub").alias("b")).distinct()
     return (pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -264,40 +317,60 @@ def segments(text: str, min_words: int) -> Iterator[tuple[int, str]]:
             yield i, line
 
 
-def piece_starts(words: list[str]) -> np.ndarray:
+def piece_starts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Numbers of the words that begin a piece: where words say so, not where the segment begins.
 
-    A piece ends where the hash of the words on both sides is the least within
+    ``hashes``: of the words (``marked_hashes``) of segments that begin at ``starts``. A
+    piece ends where the hash of the words on both sides is the least within
     ``REACH`` words, sentence ends before all others. So a passage is cut alike
     wherever it stands, but for its edges.
     """
-    if len(words) < 2:
-        return np.zeros(min(1, len(words)), np.int64)
-    score = np.fromiter((xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 | (0 if a[-1] in ".!?" else 1 << 63)
-                         for a, b in zip(words, words[1:])), np.uint64, len(words) - 1)
-    least = np.ones(len(score), bool)
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    segment = np.zeros(len(hashes), np.int64)
+    segment[starts[1:]] = 1
+    segment = np.cumsum(segment)
+    score = _mixed(hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[1:]) >> np.uint64(1)
+    score |= (~hashes[:-1] & np.uint64(1)) << np.uint64(63)
+    least = segment[1:] == segment[:-1]  # pairs of words inside a segment
+    own = np.where(least, segment[:-1], -1 - np.arange(len(score)))
     for d in range(1, min(REACH + 1, len(score))):
-        least[d:] &= score[d:] < score[:-d]
-        least[:-d] &= score[:-d] <= score[d:]
-    return np.concatenate([[0], np.flatnonzero(least) + 1])
+        apart = own[d:] != own[:-d]
+        least[d:] &= apart | (score[d:] < score[:-d])
+        least[:-d] &= apart | (score[:-d] <= score[d:])
+    return np.union1d(starts, np.flatnonzero(least) + 1)
+
+
+def piece_names(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of the words of each piece, in order."""
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
+    place = (np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))).astype(np.uint64)
+    return np.stack([np.add.reduceat(_mixed(hashes * np.uint64(factor) + place * np.uint64(step)), starts) for factor, step in (
+        (0xA0761D6478BD642F, 0xE7037ED1A0B428DB), (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))], axis=1)
 
 
 def pieces(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, text_key, line, word, name`` of every piece of every segment; ``word`` is the number of its first word there."""
+    """``doc_id, text_key, line, word, size, name`` of every piece of every segment; ``word`` is the number of its first word there."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        source, line, word, name = [], [], [], []
+        source, line, hashes = [], [], []
         for i, text in enumerate(texts_of(batch)):
             for at, segment in segments(text, min_words):
-                words = words_of(segment.lower())
-                starts = piece_starts(words).tolist()
-                for a, b in zip(starts, [*starts[1:], len(words)]):
-                    source.append(i), line.append(at), word.append(a), name.append(_name(words[a:b]))
-        rows_in = pa.array(source, pa.int64())
+                source.append(i), line.append(at), hashes.append(marked_hashes(words_of(segment.lower())))
+        begins = np.cumsum([0, *map(len, hashes)])[:len(hashes)]
+        flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        starts = piece_starts(flat, begins)
+        of = np.searchsorted(begins, starts, "right") - 1
+        names = piece_names(flat, starts)
+        rows_in = pa.array(np.array(source, np.int64)[of])
+        ends = pa.py_buffer(np.arange(len(names) + 1, dtype=np.int32) * 16)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(rows_in), batch.column("text_key").take(rows_in), pa.array(line, pa.int32()),
-             pa.array(word, pa.int32()), pa.array(name, pa.binary())], ["doc_id", "text_key", "line", "word", "name"])
+            [batch.column("doc_id").take(rows_in), batch.column("text_key").take(rows_in), pa.array(np.array(line, np.int32)[of]),
+             pa.array((starts - begins[of]).astype(np.int32)), pa.array(np.diff(np.append(starts, len(flat))).astype(np.int32)),
+             pa.Array.from_buffers(pa.binary(), len(names), [None, ends, pa.py_buffer(names.tobytes())])],
+            ["doc_id", "text_key", "line", "word", "size", "name"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,11 +378,11 @@ def pieces(docs: DataFrame, min_words: int) -> DataFrame:
                 yield part(batch.slice(at, 256))
 
     return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(
-        work, f"doc_id {kind}, text_key long, line int, word int, name binary")
+        work, f"doc_id {kind}, text_key long, line int, word int, size int, name binary")
 
 
 def repeated_pieces(docs: DataFrame, removed: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, text_key, line, word`` of every piece that occurred before, outside the lines ``removed`` (doc_id, text_key, line)."""
+    """``doc_id, text_key, line, word, size`` of every piece that occurred before, outside the lines ``removed`` (doc_id, text_key, line)."""
     found = cut(pieces(docs, min_words), "pieces")
     names = found.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
     again = cut(found.join(names, "name"), "again")
@@ -318,46 +391,41 @@ def repeated_pieces(docs: DataFrame, removed: DataFrame, min_words: int) -> Data
                           & (F.col("line") == F.col("of_line")), "left_anti"), "live")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line", "word")
     first = live.groupBy("name").agg(F.min(place).alias("stays"))
-    return live.withColumn("place", place).join(first, "name").where("not (place <=> stays)").select("doc_id", "text_key", "line", "word")
+    return live.withColumn("place", place).join(first, "name").where("not (place <=> stays)").select("doc_id", "text_key", "line", "word", "size")
 
 
-def without_pieces(segment: str, gone: set[int], min_words: int) -> tuple[str, int]:
-    """The segment without its runs of repeated pieces of ``min_words`` or more in all, and how many runs went."""
-    words = words_of(segment.lower())
-    starts = piece_starts(words).tolist()
+def runs_of(gone: dict[int, int], min_words: int) -> list[list[int]]:
+    """Runs [first word, end] of at least ``min_words`` words that the pieces ``gone`` (first word -> words) make side by side."""
     runs: list[list[int]] = []
-    for a, b in zip(starts, [*starts[1:], len(words)]):
-        if a in gone:
-            if runs and runs[-1][1] == a:
-                runs[-1][1] = b
-            else:
-                runs.append([a, b])
-    runs = [x for x in runs if x[1] - x[0] >= min_words]
-    if not runs:
-        return segment, 0
+    for a in sorted(gone):
+        if runs and runs[-1][1] == a:
+            runs[-1][1] = a + gone[a]
+        else:
+            runs.append([a, a + gone[a]])
+    return [x for x in runs if x[1] - x[0] >= min_words]
+
+
+def without_runs(segment: str, runs: list[list[int]]) -> str:
     spans, at, out = [m.span() for m in _WORD.finditer(segment)], 0, []
     for a, b in runs:
         out.append(segment[at:spans[a][0]])
         at = spans[b][0] if b < len(spans) else spans[b - 1][1]
-    return "".join(out) + segment[at:], len(runs)
+    return "".join(out) + segment[at:]
 
 
-def cleaned_text(text: str, lines: set[int], gone: dict[int, set[int]], min_words: int) -> tuple[str, int]:
-    """The text without ``lines`` and without repeated pieces (first line -> first words), and the runs of pieces that went."""
-    if not gone:
+def cleaned_text(text: str, lines: set[int], gone: dict[int, dict[int, int]], min_words: int) -> tuple[str, int]:
+    """The text without ``lines`` and without runs of repeated pieces (first line -> first word -> words), and how many runs went."""
+    runs = {at: found for at, pieces in gone.items() if at not in lines and (found := runs_of(pieces, min_words))}
+    if not runs:
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in lines) if lines else text, 0
-    held, size, runs = dict(enumerate(text.split("\n"))), {}, 0
+    held = dict(enumerate(text.split("\n")))
     for at, segment in segments(text, min_words):
-        size[at] = segment.count("\n") + 1
-        if at in gone and at not in lines:
-            rest, n = without_pieces(segment, gone[at], min_words)
-            if n:
-                runs += n
-                for i in range(at, at + size[at]):
-                    del held[i]
-                if rest.strip():
-                    held[at] = rest
-    return "\n".join(held[i] for i in sorted(held) if i not in lines), runs
+        if at in runs:
+            for i in range(at, at + segment.count("\n") + 1):
+                del held[i]
+            if (rest := without_runs(segment, runs[at])).strip():
+                held[at] = rest
+    return "\n".join(held[i] for i in sorted(held) if i not in lines), sum(map(len, runs.values()))
 
 
 def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHINGLE, similarity: float = SIMILARITY,
@@ -380,7 +448,7 @@ def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHING
     classes = cut(paragraph_classes(docs, min_words, k, similarity, bands, rows), "lines")
     pieces_gone = repeated_pieces(docs, classes.where("not first"), min_words).groupBy(
         F.col("doc_id").alias("for_id"), F.col("text_key").alias("for_key")).agg(
-        F.collect_set(F.struct("line", "word")).alias("pieces"))
+        F.collect_set(F.struct("line", "word", "size")).alias("pieces"))
     per_doc = classes.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(
         F.collect_set(F.when(~F.col("first"), F.col("line"))).alias("lines"),
         F.sort_array(F.collect_set(F.xxhash64("comp"))).alias("class_ids"))
@@ -395,10 +463,11 @@ def dedup_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SHING
         for text, lines, again in zip(texts_of(batch), batch.column("lines").to_pylist(), batch.column("pieces").to_pylist()):
             lines, gone = set(lines or ()), {}
             for piece in again or ():
-                gone.setdefault(piece["line"], set()).add(piece["word"])
+                gone.setdefault(piece["line"], {})[piece["word"]] = piece["size"]
             cleaned, runs = cleaned_text(text, lines, gone, min_words)
-            for column, value in zip(out, (sum(1 for _ in paragraphs_of(text, min_words)), len(lines) + runs, len(text.encode()),
-                                           len(text.encode()) - len(cleaned.encode()), cleaned)):
+            n_bytes = len(text.encode())
+            for column, value in zip(out, (sum(len(words_of(x)) >= min_words for x in text.split("\n")), len(lines) + runs, n_bytes,
+                                           n_bytes - len(cleaned.encode()) if cleaned is not text else 0, cleaned)):
                 column.append(value)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:4]), batch.column("class_ids"), pa.array(out[4], pa.string())],
