@@ -164,8 +164,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, similarity: f
     formed = cut(with_shingles(windows).select(*window, fingerprint("sh", most).alias("fp")), "formed")
     # Different fingerprints of windows meet the items of their size by block.
     prints = formed.select("k", "n", "fp").distinct().withColumn("b", blocks("fp")).select("k", "n", "fp", "b.block", "b.value")
-    index = items.select("item", "k", "n", fingerprint("sh", most).alias("item_fp")).withColumn("b", blocks("item_fp")).select(
-        "item", "k", "n", "item_fp", "b.block", reached(F.col("b"), radius).alias("value"))
+    # Some 27,000 entries an item at 20 bits: dealt over the tasks and written, so that joins go by its true size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = cut(items.select("item", "k", "n", fingerprint("sh", most).alias("item_fp")).repartition(tasks).withColumn("b", blocks("item_fp")).select(
+        "item", "k", "n", "item_fp", "b.block", reached(F.col("b"), radius).alias("value")), "index")
     pairs = prints.join(index, ["k", "n", "block", "value"]).where(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("k", "n", "fp", "item").distinct()
     near = with_shingles(cut(formed.join(cut(pairs, "pairs"), ["k", "n", "fp"]).select(*window, "item"), "near"))
