@@ -73,3 +73,33 @@ def test_mix_and_shards(steps):
 
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, very long and repeated texts, ties, and extra columns with the names the stages use inside."""
+    good = [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, good[0], "a"), (1, good[0], "a"), (2, None, None), (3, "", "b"), (4, " \n\t", "b"), (None, good[1], "a"), (None, None, None),
+            (5, " ".join(good * 40), "b"), (6, good[2], None), (7, good[2] + " more", "a")]
+    columns = "doc_id long, text string, source string, row string, key long, name string, comp long, n int, score double, size long, word string"
+    return spark.createDataFrame([(*r, "x", 1, "n", 2, 3, 0.1, 4, "w") for r in rows], columns)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_and_empty_tables(spark, odd, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, odd, FOLDER)
+    rows = out.collect()
+    ids = [r["doc_id"] for r in rows]
+    if name == "shard":
+        assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in odd.collect())
+        assert len({(r["shard"], r["slot"]) for r in rows}) == 10
+    else:
+        assert out.columns == odd.columns
+        given = {(r["doc_id"], r["text"]) for r in odd.collect()}
+        assert {(r["doc_id"], r["text"]) for r in rows} <= given
+    if name == "near_duplicates":  # one of the empty texts, one of each other group
+        assert sorted(map(str, ids)) == sorted(["1", "2", "None", "5", "6"])
+    if name == "decontaminate":
+        assert len(rows) == 10
+    assert stage(spark, odd.where("false"), FOLDER).collect() == []
