@@ -13,7 +13,8 @@ from kindred.queries.text import _ngram_sql
 K = 15
 MIN_SAMPLES = 5
 EPS = 1.15
-INVERTED_PROBES = 16
+# The given vectors have little structure: of 45 lists (sf0.1) 32 give a recall of 0.95, 16 of 0.74.
+INVERTED_PROBES = 32
 
 
 def _as_queries(df):
