@@ -6,21 +6,16 @@ from collections.abc import Mapping
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators import metrics, split
+from kindred.operators import kernel, metrics, split
 from kindred.operators.quality import spread
 from kindred.session import small_table
 
@@ -30,57 +25,18 @@ TREES = 100
 PERCEPTRON_HIDDEN = 100
 PERCEPTRON_ROUNDS = 100
 CV_FOLDS = 3
-
-
-class FourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
-                      DefaultParamsReadable, DefaultParamsWritable):
-    """Random Fourier features: dot products of the output approximate exp(-gamma * |x - y|^2)."""
-
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
-    inputSize = Param(Params._dummy(), "inputSize", "vector length", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, gamma=None, size=256, inputSize=None, seed=SEED):
-        super().__init__()
-        self._setDefault(size=256, seed=SEED)
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
-        count, dim = self.getOrDefault(self.size), self.getOrDefault(self.inputSize)
-        weights = rng.normal(scale=np.sqrt(2 * self.getOrDefault(self.gamma)), size=(dim, count))
-        shift = rng.uniform(0, 2 * np.pi, size=count)
-
-        @F.pandas_udf("array<double>")
-        def project(vectors: pd.Series) -> pd.Series:
-            if not len(vectors):
-                return pd.Series([], dtype=object)
-            x = np.stack(vectors.to_numpy()).astype(np.float64)
-            return pd.Series(list(np.sqrt(2.0 / count) * np.cos(x @ weights + shift)))
-
-        projected = project(vector_to_array(F.col(self.getInputCol())))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(projected))
+KINDS = ("random_forest", "svm", "mlp")
 
 
 def with_features(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
 
 
-def classifiers(dim: int, classes: int, gamma: float) -> dict[str, Estimator]:
-    """The classifiers trained side by side, each ending in ``prediction`` and ``probability``."""
+def classifiers(dim: int, classes: int) -> dict[str, Estimator]:
+    """The estimators trained beside the kernel machine, each ending in ``prediction`` and ``probability``."""
     target = {"labelCol": "label_index"}
-    svm = Pipeline(stages=[
-        FourierFeatures(inputCol="features", outputCol="kernel_features", gamma=gamma, inputSize=dim),
-        OneVsRest(classifier=LinearSVC(featuresCol="kernel_features", maxIter=20),
-                  featuresCol="kernel_features", predictionCol="svm_choice", parallelism=4, **target),
-        # Logistic calibration turns the margins (the default raw column: a loaded
-        # one-vs-rest model knows no other) into class probabilities.
-        LogisticRegression(featuresCol="rawPrediction", rawPredictionCol="calibrated", maxIter=50, **target),
-    ])
     return {
         "random_forest": RandomForestClassifier(numTrees=TREES, seed=SEED, **target),
-        "svm": svm,
         "mlp": MultilayerPerceptronClassifier(
             layers=[dim, PERCEPTRON_HIDDEN, classes], maxIter=PERCEPTRON_ROUNDS, seed=SEED, **target),
     }
@@ -107,10 +63,14 @@ def train(df: DataFrame, kinds: list[str] | None = None, label: str = "label",
     """Fit the chosen classifiers (all by default) on the labelled vectors."""
     split.require_classes(df, label)
     named, indexer, dim, gamma = _prepare(df, label, vec_col)
-    indexed = indexer.transform(named).select("features", "label_index").persist()
+    # The kernel machine sets its probabilities on rows outside its training folds; copies share a fold.
+    indexed = indexer.transform(named).select("features", "label_index", F.pmod(
+        F.xxhash64(vec_col), F.lit(CV_FOLDS)).alias("fold")).persist()
     try:
-        made = classifiers(dim, len(indexer.labels), gamma)
-        return {k: _named_model(indexer, made[k].fit(indexed)) for k in kinds or list(made)}
+        classes = len(indexer.labels)
+        made = classifiers(dim, classes)
+        return {k: _named_model(indexer, kernel.fit(indexed, CV_FOLDS, classes, dim, gamma, SEED)[0]
+                                if k == "svm" else made[k].fit(indexed)) for k in kinds or KINDS}
     finally:
         indexed.unpersist()
 
@@ -142,11 +102,15 @@ def cross_validate(df: DataFrame, kinds: list[str] | None = None, folds: int = C
     indexed = split.kfold(indexer.transform(named), folds, id_col).select(
         "features", "label_index", "fold").persist()
     try:
-        made = classifiers(dim, len(indexer.labels), gamma)
+        classes = len(indexer.labels)
+        made = classifiers(dim, classes)
         rows, models = [], {}
-        for kind in kinds or list(made):
-            by_fold = _fold_scores(made[kind], indexed, folds)
-            fitted = made[kind].fit(indexed)
+        for kind in kinds or KINDS:
+            if kind == "svm":
+                fitted, by_fold = kernel.fit(indexed, folds, classes, dim, gamma, SEED)
+            else:
+                by_fold = _fold_scores(made[kind], indexed, folds)
+                fitted = made[kind].fit(indexed)
             # One row per pair of classes.
             counts = metrics.confusion(fitted.transform(indexed), truth="label_index", predicted="prediction").persist()
             known = (metrics.macro_recall(counts).first()["r1"], metrics.accuracy(counts).first()["accuracy"])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators import tiles
+from kindred.session import cut
 
 NOISE = -1
 LOW_PROBABILITY = 0.05
@@ -249,15 +252,88 @@ def silhouette(df: DataFrame, label: str = "label", id_col: str = "idx_global",
     )
     s = F.when(F.col("_own.n") <= 1, F.lit(0.0)).otherwise(
         F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0))
+    return _scored(df, per_point, s, by, label, weight)
+
+
+def _square_scores(batches):
+    """Per tile of points and tile of clusters: each point's squared distance sum to its own, its least mean to others."""
+    for batch in batches:
+        row_no, ids, labs, ms, totals, ns, least = [], [], [], [], [], [], []
+        for row in range(batch.num_rows):
+            lab, m, who = (tiles.list_values(batch, n, row) for n in ("lab", "m", "id"))
+            clab, n, q = (tiles.list_values(batch, c, row) for c in ("c_lab", "c_n", "c_q"))
+            x, s = tiles.matrix(batch, "vec", row, len(lab)), tiles.matrix(batch, "c_vec", row, len(clab))
+            squares = np.maximum(np.einsum("ij,ij->i", x, x)[:, None] * n - 2.0 * (x @ s.T) + q, 0.0)
+            own = lab[:, None] == clab
+            row_no.append(np.full(len(lab), row))
+            ids.append(who)
+            labs.append(lab)
+            ms.append(m)
+            totals.append((squares * own).sum(axis=1))
+            ns.append((n * own).sum(axis=1))
+            least.append(np.where(own, np.inf, squares / n).min(axis=1))
+        if row_no:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("g").take(pa.array(np.concatenate(row_no))),
+                 *[pa.array(np.concatenate(v)) for v in (ids, labs, ms, totals, ns, least)]],
+                names=["g", "id", "own", "m", "total", "n", "b"])
+
+
+def square_silhouette(df: DataFrame, label: str = "label", id_col: str = "idx_global",
+                      vec_col: str = "embedding", by: str | None = None, weight: str | None = None,
+                      tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """The silhouette in squared distances, in time linear in the points; columns as ``silhouette``.
+
+    The mean squared distance of a point to a cluster follows from the cluster's
+    count, sum and sum of squared norms about the mean of its group, so points
+    meet one row per cluster, tile by tile, and never each other. Null vectors
+    take no part; an empty table gives an empty table.
+    """
+    points = _points(df, label, id_col, vec_col, by, weight).where("_vec is not null").withColumn(
+        "_x", array_to_vector(F.col("_vec").cast("array<double>")))
+    # Distances to the group's mean lose no digits where all points lie far from the origin.
+    middles = points.groupBy("g").agg(Summarizer.mean(F.col("_x"), F.col("_w").cast("double")).alias("_middle"))
+    middles = cut(middles.select("g", vector_to_array("_middle").alias("_middle")), "middles")
+    points = points.drop("_x").join(middles, "g").withColumn("_vec", F.zip_with(
+        F.col("_vec").cast("array<double>"), "_middle", lambda x, c: x - c)).drop("_middle")
+    w = F.col("_w").cast("double")
+    square = F.aggregate("_vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    clusters = cut(points.groupBy("g", "lab").agg(
+        F.sum(w).alias("n"), F.sum(w * square).alias("q"),
+        Summarizer.metrics("sum").summary(array_to_vector("_vec"), w)["sum"].alias("s"))
+        .select("g", "lab", "n", "q", vector_to_array("s").alias("s")), "clusters")
+    parts = clusters.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).alias("_parts"))
+    cluster_tiles = tiles.pack(
+        clusters.join(parts, "g").withColumn("_part", tiles.hash_slot("lab", F.col("_parts"))),
+        ["g", "_part"], ["lab", "n", "q"], "s", "c_")
+    # A group of many tiles is spread over as many keys as it has spare copies of the clusters.
+    spare = 16
+    left = _tiled(points, tile_rows).join(parts, "g").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).withColumn(
+        "_spare", F.pmod("tile", F.lit(spare)).cast("int"))
+    right = cluster_tiles.withColumn("_spare", F.explode(F.sequence(F.lit(0), F.lit(spare - 1))))
+    per_point = left.join(right, ["g", "_part", "_spare"]).select(
+        "g", "lab", "m", "id", "vec", "c_lab", "c_n", "c_q", "c_vec").mapInArrow(
+        _square_scores, "g long, id long, own long, m long, total double, n double, b double")
+    per_point = per_point.groupBy("g", "id", "own", "m").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("b").alias("b")).withColumn(
+        "a", F.col("total") / F.nullif(F.col("n") - 1, F.lit(0.0)))
+    s = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(
+        F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0))
+    return _scored(df, per_point, s, by, label, weight)
+
+
+def _scored(df: DataFrame, per_point: DataFrame, value: Column, by: str | None, label: str, weight: str | None) -> DataFrame:
+    """Mean of the points' values beside the counts, and minus the noise ratio."""
     mean = per_point.groupBy("g").agg(
-        (F.sum(s * F.col("m")) / F.sum("m")).alias("silhouette"), F.sum("m").alias("_points"))
+        (F.sum(value * F.col("m")) / F.sum("m")).alias("silhouette"), F.sum("m").alias("_points"))
     g = (F.col(by) if by else F.lit(0)).cast("long")
     counts = cluster_counts(df.withColumn("g", g), ["g"], label, weight)
     valid = (F.col("n_clusters") >= 2) & (F.col("_points") > F.col("n_clusters"))
-    value = F.when(valid, F.col("silhouette"))
+    kept = F.when(valid, F.col("silhouette"))
     return counts.join(mean, "g", "left").select(
-        "g", "n_clusters", "noise_ratio", value.alias("silhouette"),
-        F.coalesce(value - F.col("noise_ratio"), F.lit(-1.0)).alias("score"))
+        "g", "n_clusters", "noise_ratio", kept.alias("silhouette"),
+        F.coalesce(kept - F.col("noise_ratio"), F.lit(-1.0)).alias("score"))
 
 
 def spread(df: DataFrame, vec_col: str = "embedding", by: list[str] | None = None) -> DataFrame:

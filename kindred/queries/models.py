@@ -40,8 +40,7 @@ def svm_predict(spark, folder):
 
 
 def cross_validate(spark, folder):
-    # The two kinds the published training times cover; the kernel machine's folds take minutes even on small tables.
-    scores, _, _ = classify.cross_validate(vectors(spark, folder), ["random_forest", "mlp"])
+    scores, _, _ = classify.cross_validate(vectors(spark, folder))
     return _scores(scores)
 
 
@@ -50,9 +49,9 @@ def _scores(scores):
 
 
 def train_observations(spark, folder):
-    """All observations, encoded, as training rows of their place: forest and perceptron over three folds."""
+    """All observations, encoded, as training rows of their place: all classifiers over three folds."""
     o = cut(embed_observations(observations(spark, folder)).select("idx_global", "embedding", "spatial"), "training")
-    return _scores(classify.cross_validate(o, ["random_forest", "mlp"], label="spatial")[0])
+    return _scores(classify.cross_validate(o, label="spatial")[0])
 
 
 def fuzzy_edges(spark, folder):

@@ -63,6 +63,12 @@ def silhouette(spark, folder):
         r6("score").alias("score"))
 
 
+def square_silhouette(spark, folder):
+    return quality.square_silhouette(vectors(spark, folder), "cl").select(
+        "n_clusters", r6("noise_ratio").alias("noise_ratio"), r6("silhouette").alias("silhouette"),
+        r6("score").alias("score"))
+
+
 def spread(spark, folder):
     return quality.spread(vectors(spark, folder)).select(r6("spread").alias("spread"))
 
@@ -124,6 +130,14 @@ _CLASSES = ("cls as (select distinct label as c from pr union select distinct pr
 _FOLDS = ("fo as (select *, ((row_number() over (order by id) - 1) * 3 // count(*) over ())::int as fold from pr), "
           "fa as (select fold, avg((label = predicted)::int) as a from fo group by fold)")
 
+_SILHOUETTE = (f"with {E_SQL}, m as (select a.id, a.cl as la, b.cl as lb, avg({{distance}}) as d "
+               "from e a join e b on a.id <> b.id where a.cl <> -1 and b.cl <> -1 group by all), "
+               "s as (select id, max(d) filter (where la = lb) as a, min(d) filter (where la <> lb) as b from m group by id), "
+               "x as (select avg((b - a) / greatest(a, b)) as s from s), "
+               "n as (select count(distinct case when cl >= 0 then cl end) as n_clusters, avg((cl = -1)::int) as r from e) "
+               "select n_clusters, round(r, 6) + 0.0 as noise_ratio, round(s, 6) + 0.0 as silhouette, "
+               "round(s - r, 6) + 0.0 as score from x, n")
+
 QUERIES = {
     "cluster_counts": (cluster_counts, f"with {E_SQL} select count(distinct cl) as label_count, "
                        "count(distinct case when cl >= 0 then cl end) as n_clusters, "
@@ -142,13 +156,8 @@ QUERIES = {
              "as n_clusters, (select avg(m) from intra) as i, (select avg(m) from inter) as o) select n_clusters, "
              "round(i, 6) + 0.0 as intra, round(o, 6) + 0.0 as inter, "
              "round((o - i) / greatest(o, i), 6) + 0.0 as dbcv_score from x"),
-    "silhouette": (silhouette, f"with {E_SQL}, m as (select a.id, a.cl as la, b.cl as lb, avg(list_distance(a.v, b.v)) as d "
-                   "from e a join e b on a.id <> b.id where a.cl <> -1 and b.cl <> -1 group by all), "
-                   "s as (select id, max(d) filter (where la = lb) as a, min(d) filter (where la <> lb) as b from m group by id), "
-                   "x as (select avg((b - a) / greatest(a, b)) as s from s), "
-                   "n as (select count(distinct case when cl >= 0 then cl end) as n_clusters, avg((cl = -1)::int) as r from e) "
-                   "select n_clusters, round(r, 6) + 0.0 as noise_ratio, round(s, 6) + 0.0 as silhouette, "
-                   "round(s - r, 6) + 0.0 as score from x, n"),
+    "silhouette": (silhouette, _SILHOUETTE.format(distance="list_distance(a.v, b.v)")),
+    "square_silhouette": (square_silhouette, _SILHOUETTE.format(distance="list_distance(a.v, b.v) ** 2")),
     "spread": (spread, f"with {E_SQL} select round(-var_pop(x), 6) + 0.0 as spread from (select unnest(v) as x from e)"),
     "nearest_centroid": (nearest_centroid, f"with {E_SQL}, {_PRED} select id as idx_global, label, predicted, "
                          "round(s, 6) + 0.0 as similarity from pr"),

@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import classify, search
+from kindred.operators import classify, kernel, search, split
 from kindred.plans import clustering, prediction
 from kindred.plans.embedding import embed_observations
 from kindred.schemas import OBSERVATION_COLUMNS, OBSERVATIONS
@@ -28,6 +29,44 @@ def test_classifier_learns_blobs_and_survives_saving(spark, labelled, kind, tmp_
     assert (got.confidence == [p[0]["probability"] for p in got.probabilities]).all()
 
 
+def test_kernel_machine_reaches_the_optimum_of_every_problem(spark, labelled):
+    rows = classify.with_features(split.kfold(labelled.where("label < 3"), 2)).select(
+        "features", F.col("label").alias("label_index"), "fold")
+    machine, scores = kernel.fit(rows, 2, 3, 8, 1e-4, 7, size=32, rounds=200, tolerance=1e-10)
+    data = rows.toPandas()
+    x = kernel.lift(np.stack([v.toArray() for v in data.features]), *kernel.basis(8, 32, 1e-4, 7))
+
+    def newton(x, y):
+        w = np.zeros(x.shape[1])
+        for _ in range(100):
+            gap = np.maximum(0, 1 - y * (x @ w))
+            near = x[gap > 0]
+            slope = w - 2 * x.T @ (gap * y)
+            step, size = np.linalg.solve(np.eye(len(w)) + 2 * near.T @ near, slope), 1.0
+            cost = lambda v: v @ v / 2 + (np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+            while cost(w - size * step) > cost(w) and size > 1e-9:
+                size /= 2
+            w = w - size * step
+        return w
+
+    def solved(keep):
+        return np.stack([newton(x[keep], np.where(data.label_index[keep] == c, 1.0, -1.0)) for c in range(3)])
+
+    whole = solved(np.full(len(data), True))
+    assert np.abs(np.array(machine.getOrDefault(machine.weights)).reshape(3, -1) - whole).max() < 1e-4
+    for f in range(2):
+        held = (data.fold == f).to_numpy()
+        assert scores[f] == ((x[held] @ solved(~held).T).argmax(axis=1) == data.label_index[held]).mean()
+
+
+def test_kernel_machine_on_an_empty_fold_and_copies(labelled):
+    one = labelled.withColumn("embedding", F.when(F.col("label") == 0, F.array(*[F.lit(1.0).cast("float")] * 8)).otherwise(F.col("embedding")))
+    rows = classify.with_features(one).select("features", F.col("label").alias("label_index"), F.lit(0).alias("fold"))
+    machine, scores = kernel.fit(rows, 2, 5, 8, 1e-4, 7)
+    assert scores[1] == 0 and np.isfinite(machine.getOrDefault(machine.weights)).all()
+    assert machine.transform(rows).where("prediction = label_index").count() > 0.95 * rows.count()
+
+
 def test_noise_is_a_class_of_its_own(spark, labelled):
     noisy = labelled.withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
     got = classify.predict(classify.train(noisy, ["random_forest"])["random_forest"], noisy)
