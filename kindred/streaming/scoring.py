@@ -39,15 +39,26 @@ def log_stream(predictions: DataFrame, out: str, checkpoint: str, query_id: str
                available_now: bool = True) -> StreamingQuery:
     """Append predictions with running ids, in folders by batch.
 
-    The next id is read from the batches before this one only, so a batch that is
-    run again gets the ids it had.
+    Every batch leaves its highest id in a one-row table of its own (under
+    ``_last``, which readers of the log pass over), and the next batch reads only
+    that one, so the work of a batch does not grow with the log. A batch that is
+    run again gets the ids it had and replaces its rows. A log without such a
+    table for the batch before (made by other means) is read once.
     """
+    root = out.rstrip("/")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = "id long, batch long"
-        earlier = logs.read_log(spark, out, schema).where(F.col("batch") < batch_id)
-        rows = logs.next_ids(batch, earlier.agg(F.max("id").alias("last_id")), query_id)
-        rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
+        # Batches are numbered one by one, so the one before is known by its number.
+        last = logs.read_log(spark, f"{root}/_last/batch={batch_id - 1}", "last_id long")
+        if not last.take(1):
+            earlier = logs.read_log(spark, root, "id long, batch long").where(F.col("batch") < batch_id)
+            last = earlier.agg(F.max("id").alias("last_id"))
+        path = f"{root}/batch={batch_id}"
+        logs.next_ids(batch, last, query_id).write.mode("overwrite").parquet(path)
+        highest = logs.read_log(spark, path, "id long").agg(F.max("id").alias("_own"))
+        highest.join(last).select(F.coalesce("_own", "last_id", F.lit(0)).cast("long").alias("last_id")).coalesce(
+            1).write.mode("overwrite").parquet(f"{root}/_last/batch={batch_id}")
 
     writer = predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:

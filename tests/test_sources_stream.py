@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import neighbours
+from kindred.sources import logs
 from kindred.sources import observations as obs
 from kindred.sources import vectors as vec
 from kindred.streaming import scoring
@@ -93,3 +94,38 @@ def test_log_ids_run_on_over_batches(spark, tmp_path):
         scoring.log_stream(stream, str(tmp_path / "log"), str(tmp_path / ck)).awaitTermination()
     ids = [r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()]
     assert sorted(ids) == list(range(1, 31))
+
+
+def test_a_batch_of_the_log_reads_only_the_one_before(spark, tmp_path):
+    src, log = str(tmp_path / "in"), tmp_path / "log"
+    read = []
+    known = logs.read_log
+
+    def noted(session, path, schema):
+        read.append(str(path).removeprefix(str(log)))
+        return known(session, path, schema)
+
+    def run(ck):
+        stream = scoring.query_stream(spark, src, "query_id long", max_files=1)
+        scoring.log_stream(stream, str(log), str(tmp_path / ck)).awaitTermination()
+
+    patch = pytest.MonkeyPatch()
+    patch.setattr(logs, "read_log", noted)
+    try:
+        for start in (0, 10, 20, 30):
+            spark.range(start, start + 10).withColumnRenamed("id", "query_id").coalesce(1).write.mode("append").parquet(src)
+            run("a")
+        assert read[-4:] == ["/_last/batch=1", "/batch=2", "/_last/batch=2", "/batch=3"]
+        assert read.count("") == 1
+        # Rows without any id still hand the highest id on.
+        spark.createDataFrame([], "query_id long").write.mode("append").parquet(src)
+        spark.range(40, 45).withColumnRenamed("id", "query_id").coalesce(1).write.mode("append").parquet(src)
+        run("a")
+        first = {r.query_id: r.id for r in spark.read.parquet(str(log)).collect()}
+        assert sorted(first.values()) == list(range(1, 46)) and max(first.values()) == first[44]
+        # A batch run again, from the records of the batches before it, takes the same ids.
+        run("b")
+        again = [r.id for r in spark.read.parquet(str(log)).collect()]
+        assert sorted(again) == list(range(1, 46))
+    finally:
+        patch.undo()
