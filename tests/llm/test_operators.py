@@ -182,6 +182,24 @@ def test_mix(spark, docs, empty):
     assert mix.mix(empty).collect() == []
 
 
+def test_rows_of_one_id_toss_their_own_coins(spark, monkeypatch):
+    monkeypatch.setattr(mix, "RUN_ROWS", 64)
+    rows = [(7 if i < 1500 else i, "w " * (5 + i % 2 if i < 500 else 5 if i < 1000 else 5 + i % 9), "a") for i in range(3000)]
+    rows += [(None, None, "b"), (None, "", "b"), (7, "w " * 5, "b")] * 200 + [(i, "w " * 8, "c") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mix.mix(table, (1, 2, 3)).select("row.*", "size", "target", "copies").collect()
+    assert sorted(map(repr, ((r.doc_id, r.text, r.source) for r in got))) == sorted(map(repr, rows))
+    assert sorted(map(repr, got)) == sorted(map(repr, mix.mix(table.repartition(3), (1, 2, 3)).select("row.*", "size", "target", "copies").collect()))
+    for source in "abc":
+        taken, target = (sum(r["size"] * r.copies for r in got if r.source == source), next(r.target for r in got if r.source == source))
+        assert abs(taken - target) < 0.05 * target
+    names = [(r.number, r.doc_id, r.text, r.source) for r in mix.numbered(table.select(F.struct("*").alias("row")).select(
+        "row", F.lit(0).alias("size"), mix.digest(F.col("row.text")).alias("digest"))).select("number", "row.*").collect()]
+    for key in {(n[1], n[2] or "", n[3]) for n in names}:
+        mine = sorted(n[0] for n in names if (n[1], n[2] or "", n[3]) == key)
+        assert mine == list(range(len(mine)))
+
+
 def pages_table(spark):
     big, small = "<p>" + prose(400, 20), "<p>x"
     rows = [(1, "http://a.example.com/x?q=1#f", big), (2, "https://A.example.com:443/y", big), (3, None, small), (4, "no url", small),
