@@ -139,7 +139,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     result as a full search.
 
     ``search`` takes the place of the tile pairs: ``cells.grid_pairs`` (exact, for few
-    dimensions) or ``inverted.probing(...)`` (approximate). It gets the different
+    dimensions), ``group_cells.pivot_pairs`` (exact, with ``by``) or ``inverted.probing(...)``
+    (approximate). It gets the different
     vectors of both sides, the group columns, k, the metric and the rows of a tile.
     """
     group = ["g"] if by else []
@@ -268,14 +269,15 @@ def mutual_reach(graph: DataFrame, core: DataFrame, by: str | None = None,
 
 def group_topk(queries: DataFrame, corpus: DataFrame, n: int = 10, label: str = "label",
                id_col: str = "idx_global", vec_col: str = "embedding",
-               query_id: str = "query_id") -> DataFrame:
+               query_id: str = "query_id", **kw) -> DataFrame:
     """Most similar rows of the query's own group, with relative and global index.
 
     Groups no query asks for are left out before anything is grouped or tiled.
+    ``search=group_cells.pivot_pairs`` skips the parts of a group too far from a query.
     """
     corpus = ranks.in_asked_groups(corpus, queries, label)
     hits = knn_join(queries, corpus, n, "cosine", by=label, id_col=id_col, vec_col=vec_col,
-                    query_id=query_id)
+                    query_id=query_id, **kw)
     index = ranks.relative_index(corpus.select(label, id_col), [label], id_col)
     return hits.join(index, [label, id_col]).select(
         query_id, label, "rank", "idx_relativo", F.col(id_col),

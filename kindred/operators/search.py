@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.operators import density, quality, reduce, tiles
+from kindred.operators import density, heldout, quality, reduce, tiles
 from kindred.schemas import TRIALS_DDL
 from kindred.session import cut, small_table
 
@@ -286,62 +286,39 @@ def bayesian_search(points: DataFrame, space: Mapping[str, Sequence], label_lowe
 
 def separate_grid_search(points: DataFrame, reduction_space: Mapping[str, Sequence] | None = None,
                          density_space: Mapping[str, Sequence] | None = None, seed: int = 42,
-                         iterations: int = 8, id_col: str = "idx_global", vec_col: str = "embedding"):
-    """Best reduction by spread, then best clustering by silhouette minus noise.
+                         iterations: int = 8, id_col: str = "idx_global", vec_col: str = "embedding", folds: int = 3):
+    """Best reduction by spread, then best clustering by silhouette minus noise, both on held-out folds.
 
+    Every cell is fitted on all folds but one and scored on that one's rows (``heldout``);
+    cells are ranked by the mean of their folds. The best cells are then fitted on all rows.
     Returns (summary row, best parameters, reduction cells, clustering cells, labels of the best).
     """
     spark = points.sparkSession
     rspace = dict(reduction_space or DEFAULT_REDUCTION_SPACE)
-    dspace = dict(density_space or DEFAULT_DENSITY_SPACE)
-    made = reduce.layouts(points, sorted(set(rspace["n_neighbors"])), max(rspace["n_components"]),
-                          seed, iterations, id_col, vec_col)
-    extents = made.select("nn", F.posexplode("coords").alias("i", "x")).groupBy("nn", "i").agg(
-        F.max(F.abs("x")).alias("m"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"),
-        F.count(F.lit(1)).alias("n"))
-    # Sums per coordinate give the spread of every cell: (values in the space) rows.
-    cells = grid_table(spark, rspace).join(F.broadcast(extents), F.col("nn") == F.col("n_neighbors")) \
-        .where(F.col("i") < F.col("n_components")).groupBy("cell_id", *rspace).agg(
-        F.max("m").alias("m"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
-    factor = F.lit(10.0) * (1 + F.col("min_dist")) / F.nullif(F.col("m"), F.lit(0.0))
-    mean = F.col("s") / F.col("n")
-    cells = trial_rank(cells.withColumn("mean_score", factor * factor * (mean * mean - F.col("q") / F.col("n")))
-                       .drop("m", "s", "q", "n"), "mean_score")
-    cells = cut(cells, "grid-reduction")
-    best_r = cells.orderBy(F.col("rank_score"), F.col("cell_id")).first()
-    layout = reduce.stretch(made.where(F.col("nn") == best_r["n_neighbors"]),
-                            best_r["n_components"], best_r["min_dist"])
-    layout = cut(layout.join(_weights(points, id_col, vec_col), "node").select(
-        F.lit(0).alias("g"), "node", "n", "coords"), "grid-coords")
-    samples, sizes = sorted(set(dspace["min_samples"])), sorted(set(dspace["min_cluster_size"]))
-    nodes, forest = density.density_forest(layout, samples, None, "g", "node", "coords", weight="n")
-    keys, parts = ["g", "ms"], []
-    tree = density.hierarchy(nodes, forest, keys)
-    for i, eps in enumerate(dspace.get("cluster_selection_epsilon", [0.0])):
-        parts.append(_spread_nodes(layout, density.select_clusters(nodes, tree, keys, sizes, eps))
-                     .select("ms", "mcs", F.lit(float(eps)).alias("cluster_selection_epsilon"),
-                             "node", "n", "label", "prob"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    cell = F.dense_rank().over(Window.orderBy("mcs", "ms", "cluster_selection_epsilon")) - 1
-    names = cut(every.select("mcs", "ms", "cluster_selection_epsilon").distinct()
-                .withColumn("cell_id", cell.cast("long")), "grid-cells")
-    rows = cut(every.join(F.broadcast(names), ["mcs", "ms", "cluster_selection_epsilon"])
-               .join(layout.select("node", "coords"), "node"), "grid-labels")
-    scored = quality.silhouette(rows, "label", "node", "coords", by="cell_id", weight="n")
-    dcells = names.join(scored.withColumnRenamed("g", "cell_id"), "cell_id").select(
-        "cell_id", F.col("mcs").alias("min_cluster_size"), F.col("ms").alias("min_samples"),
-        "cluster_selection_epsilon", "n_clusters", "noise_ratio", F.col("score").alias("mean_score"))
-    dcells = cut(trial_rank(dcells, "mean_score"), "grid-density")
+    dspace = {"cluster_selection_epsilon": [0.0], **dict(density_space or DEFAULT_DENSITY_SPACE)}
+    scores = heldout.reduction_scores(points, rspace, grid_table(spark, rspace), folds, seed=seed, iterations=iterations,
+                                      id_col=id_col, vec_col=vec_col)
+    cells = cut(cell_summary(scores, ["cell_id", *rspace]), "grid-reduction")
+    best_r = cells.orderBy("rank_score", "cell_id").first()
+    made = reduce.layouts(points, [best_r["n_neighbors"]], max(rspace["n_components"]), seed, iterations, id_col, vec_col)
+    layout = reduce.stretch(made, best_r["n_components"], best_r["min_dist"]).select("node", "coords")
+    rows = cut(density.attach_nodes(points, layout, [], id_col, vec_col), "grid-coords")
+    names = ["min_cluster_size", "min_samples", "cluster_selection_epsilon"]
+    dcells = cut(cell_summary(heldout.density_scores(rows, dspace, folds, id_col), ["cell_id", *names]), "grid-density")
     best_d = dcells.orderBy("rank_score", "cell_id").first()
-    chosen = rows.where(F.col("cell_id") == best_d["cell_id"])
+    weighted = layout.join(_weights(points, id_col, vec_col), "node").select(F.lit(0).alias("g"), "node", "n", "coords")
+    weighted = cut(weighted, "grid-nodes")
+    nodes, forest = density.density_forest(weighted, [best_d["min_samples"]], None, "g", "node", "coords", weight="n")
+    keys = ["g", "ms"]
+    labels = density.select_clusters(nodes, density.hierarchy(nodes, forest, keys), keys, [best_d["min_cluster_size"]],
+                                     best_d["cluster_selection_epsilon"])
+    chosen = cut(_spread_nodes(weighted, labels).join(layout, "node").select("node", "n", "label", "prob", "coords"), "grid-labels")
+    counts = quality.cluster_counts(chosen, weight="n").first()
     valid = quality.dbcv(chosen, "label", "node", "coords", weight="n").first()
     score = None if valid is None else valid["dbcv_score"]
-    best = {**{p: best_r[p] for p in rspace},
-            **{p: best_d[p] for p in ("min_cluster_size", "min_samples", "cluster_selection_epsilon")}}
+    best = {**{p: best_r[p] for p in rspace}, **{p: best_d[p] for p in names}}
     summary = small_table(spark,
         [(0, best["n_neighbors"], best["n_components"], best["min_cluster_size"], best["min_samples"],
-          float(best["min_dist"]), best_d["n_clusters"], best_d["n_clusters"], best_d["noise_ratio"],
-          best_d["noise_ratio"], score)], TRIALS_DDL)
+          float(best["min_dist"]), counts["n_clusters"], counts["n_clusters"], counts["noise_ratio"],
+          counts["noise_ratio"], score)], TRIALS_DDL)
     return summary, best, cells, dcells, chosen.select("node", "label", "prob")

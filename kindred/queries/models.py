@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.operators import classify, density, neighbours, reduce, search
+from kindred.operators import classify, density, heldout, neighbours, reduce, search
 from kindred.plans import clustering, prediction
 from kindred.plans.embedding import embed_observations
 from kindred.queries.search import _COS, _MOVED, _other_side
@@ -110,6 +110,14 @@ def grid_search(spark, folder):
     return summary
 
 
+def heldout_cells(spark, folder):
+    """Reduction cells fitted on two folds and scored on the third: mean, deviation and rank of every cell."""
+    space = {k: SEARCH_SPACE[k] for k in ("n_neighbors", "n_components", "min_dist")}
+    scores = heldout.reduction_scores(vectors(spark, folder), space, search.grid_table(spark, space))
+    return search.cell_summary(scores, ["cell_id", *space]).select(
+        "cell_id", *space, r6("mean_score").alias("mean_score"), r6("std_score").alias("std_score"), "rank_score")
+
+
 def stream_scores(spark, folder):
     """The nearest-label query run as a stream over the files of the table."""
     corpus = vectors(spark, folder)
@@ -165,6 +173,7 @@ QUERIES = {
     "random_search": (random_search, None),
     "bayes_search": (bayes_search, None),
     "grid_search": (grid_search, None),
+    "heldout_cells": (heldout_cells, None),
     "stream_scores": (stream_scores, f"with {E_SQL}, q as (select id, {_MOVED} as v from e) "
                       "select q.id as query_id, b.id as idx_global, b.label as predicted, "
                       f"round({_COS.format('q.v', 'b.v')}, 6) + 0.0 as similarity from q cross join e b "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.operators import cells, classify, exact, graph, inverted, neighbours, reduce
+from kindred.operators import cells, classify, exact, graph, group_cells, heldout, inverted, neighbours, reduce
 from kindred.sources.observations import fetch_rows
 from kindred.plans import prediction
 from kindred.queries.tables import E_SQL, load, r6, vectors
@@ -29,6 +29,20 @@ def group_topk(spark, folder):
                        r6("similarity").alias("similarity"))
 
 
+def pruned_groups(spark, folder):
+    """The search inside groups with pivot cells of each group: same rows, cells beyond the bound never compared."""
+    e = vectors(spark, folder)
+    hits = neighbours.group_topk(_as_queries(e), e, 10, search=group_cells.pivot_pairs, tile_rows=32)
+    return hits.select("query_id", "label", "rank", "idx_relativo", "idx_global",
+                       r6("similarity").alias("similarity"))
+
+
+def heldout_neighbours(spark, folder):
+    """The five nearest trained vectors of every held-out one, three folds at once."""
+    _, held = heldout.fold_neighbours(heldout.fold_vectors(vectors(spark, folder), 3), 5, 3)
+    return held.select("fold", "node", "rank", "neighbour", r6("dist").alias("dist"))
+
+
 def global_topk(spark, folder):
     """Five most similar rows of the whole table and their groups."""
     e = vectors(spark, folder)
@@ -210,12 +224,20 @@ _CENTROIDS = ("m as (select label, i, avg(x) as x from (select label, unnest(v)
               "cen as (select label, list(x order by i) as c from m group by label)")
 _CLOSE = ("list_bool_and(list_transform(list_zip(q.v, b.v), "
           "lambda z: abs(z[1] - z[2]) <= 1e-6 + 1e-5 * abs(z[2])))")
+_GROUPS = (f"with {E_SQL}, {_REL} select a.id as query_id, a.label as label, row_number() over "
+           f"(partition by a.id order by {_COS.format('a.v', 'b.v')} desc, b.id) as rank, r as idx_relativo, "
+           f"b.id as idx_global, round({_COS.format('a.v', 'b.v')}, 6) + 0.0 as similarity "
+           "from e a join e b on a.label = b.label join rel on rel.id = b.id qualify rank <= 10")
 
 QUERIES = {
-    "group_topk": (group_topk, f"with {E_SQL}, {_REL} select a.id as query_id, a.label as label, row_number() over "
-                   f"(partition by a.id order by {_COS.format('a.v', 'b.v')} desc, b.id) as rank, r as idx_relativo, "
-                   f"b.id as idx_global, round({_COS.format('a.v', 'b.v')}, 6) + 0.0 as similarity "
-                   "from e a join e b on a.label = b.label join rel on rel.id = b.id qualify rank <= 10"),
+    "group_topk": (group_topk, _GROUPS),
+    "pruned_groups": (pruned_groups, _GROUPS),
+    "heldout_neighbours": (heldout_neighbours, f"with {E_SQL}, f as (select min(id) over (partition by v) as node, v, "
+                           "((row_number() over (order by id) - 1) * 3 // count(*) over ())::int as fold from e), "
+                           "m as (select distinct node, fold, v from f), p as (select distinct a.fold, a.node, a.v, b.node as neighbour, b.v as w "
+                           f"from m a join m b on a.fold <> b.fold) select fold, node, row_number() over (partition by fold, node order by "
+                           f"{_COS.format('v', 'w')} desc, neighbour) as rank, neighbour, round(1 - {_COS.format('v', 'w')}, 6) + 0.0 as dist "
+                           "from p qualify rank <= 5"),
     "global_topk": (global_topk, f"with {E_SQL}, {_TOP5} select query_id, rank, idx_global, label, "
                     "round(s, 6) + 0.0 as similarity from hits"),
     "pruned_topk": (pruned_topk, f"with {E_SQL}, {_TOP5} select query_id, rank, idx_global, label, "
