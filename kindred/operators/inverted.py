@@ -69,14 +69,28 @@ def train_centroids(rows: DataFrame, vec_col: str, count: int, metric: str, roun
     return centroids
 
 
-def _listed(df: DataFrame, vec_col: str, centroids: np.ndarray, probes: int, metric: str) -> DataFrame:
-    """``df`` once for each of the ``probes`` nearest ``cell`` of a row."""
-    @F.pandas_udf("array<int>")
+def _listed(df: DataFrame, vec_col: str, centroids: np.ndarray, metric: str) -> DataFrame:
+    """``df`` with the nearest ``cell`` of a row."""
+    @F.pandas_udf("int")
     def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            yield pd.Series(list(_nearest(_matrix(vectors, metric), centroids, probes)))
+            yield pd.Series(_nearest(_matrix(vectors, metric), centroids, 1)[:, 0])
+
+    return df.withColumn("cell", cells(vec_col))
+
+
+def _wanting(q_tiles: DataFrame, centroids: np.ndarray, probes: int, metric: str) -> DataFrame:
+    """Query tiles with the lists any of their rows reads."""
+    @F.pandas_udf("array<int>")
+    def lists(packed: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_probed(v.reshape(-1, centroids.shape[1]), centroids, probes, metric)) for v in packed])
+
+    return q_tiles.withColumn("wanted", lists("q_vec"))
+
 
-    return df.withColumn("cell", F.explode(cells(vec_col)))
+def _probed(x: np.ndarray, centroids: np.ndarray, probes: int, metric: str) -> np.ndarray:
+    x = np.asarray(x, dtype=np.float64)
+    return _nearest(neighbours._unit(x) if metric == "cosine" else x, centroids, probes)
 
 
 def suggested_cells(rows: int) -> int:
@@ -98,15 +112,17 @@ def probing(probes: int = PROBES, cells: int | None = None, rounds: int = ROUNDS
             raise ValueError("inverted lists search the whole corpus; use pivots or the grid inside groups")
         count = min(cells or suggested_cells(stored.count()), MAX_CENTROIDS)
         centroids = train_centroids(stored, "c_vec", count, metric, rounds) if count > 1 else np.zeros((1, 1))
-        if len(centroids) > 1:
-            q = _listed(asked, "q_vec", centroids, min(probes, len(centroids)), metric)
-            c = _listed(stored, "c_vec", centroids, 1, metric)
-        else:
-            q, c = asked.withColumn("cell", F.lit(0)), stored.withColumn("cell", F.lit(0))
-        q, c, keys = cut(q, "probes"), cut(c, "lists"), ["cell"]
-        slots = neighbours._slot_counts(c, keys, tile_rows, 0)
+        reads = min(probes, count)
+        # A tile holds rows of one cell, so it asks for few lists; rows are copied neither for their probes nor for tiles.
+        q, c = (cut(_listed(df, vec, centroids, metric) if len(centroids) > 1 else df.withColumn("cell", F.lit(0)), name)
+                for df, vec, name in ((asked, "q_vec", "probes"), (stored, "c_vec", "lists")))
+        keys = ["cell"]
         q_tiles = neighbours._tile(q, neighbours._slot_counts(q, keys, tile_rows, 0), keys, "q_vec", "q_")
-        return neighbours._run_pairs(q_tiles, neighbours._tile(c, slots, keys, "c_vec", "c_"), slots, keys, keys, need, metric, None)
+        c_tiles = cut(neighbours._tile(c, neighbours._slot_counts(c, keys, tile_rows, 0), keys, "c_vec", "c_").withColumnRenamed("cell", "c_cell"), "list-tiles")
+        if reads >= len(centroids):
+            return neighbours._search_tiles(cut(q_tiles, "probe-tiles"), c_tiles, need, metric)
+        q_tiles = cut(_wanting(q_tiles, centroids, reads, metric), "probe-tiles")
+        return neighbours._search_tiles(q_tiles, c_tiles, need, metric, rows_of=lambda x: _probed(x, centroids, reads, metric))
 
     return pairs
 

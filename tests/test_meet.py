@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from kindred.operators import neighbours, tiles
+from kindred.operators import inverted, neighbours, tiles
 from kindred.session import cut
 
 
@@ -63,3 +63,17 @@ def test_lists_over_many_tiles_keep_ties_and_order(spark, vectors, monkeypatch):
         d = np.linalg.norm(x - x[i], axis=1).round(9)
         order = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i][:6]
         assert [got[i][r] for r in range(1, 7)] == order
+
+
+def test_a_query_is_stored_once_whatever_it_probes(spark, vectors, monkeypatch):
+    written = {}
+
+    def counting(df, name="cut", folders=()):
+        out = cut(df, name, folders)
+        written[name] = out
+        return out
+
+    monkeypatch.setattr(inverted, "cut", counting)
+    x = np.random.default_rng(5).normal(size=(300, 5))
+    neighbours.knn_graph(vectors(x), 3, "euclidean", tile_rows=16, search=inverted.probing(6, 12)).count()
+    assert written["probes"].count() == 300
