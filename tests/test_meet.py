@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kindred.operators import inverted, neighbours, tiles
@@ -77,3 +78,15 @@ def test_a_query_is_stored_once_whatever_it_probes(spark, vectors, monkeypatch):
     x = np.random.default_rng(5).normal(size=(300, 5))
     neighbours.knn_graph(vectors(x), 3, "euclidean", tile_rows=16, search=inverted.probing(6, 12)).count()
     assert written["probes"].count() == 300
+
+
+def test_a_task_sends_each_list_once():
+    rng = np.random.default_rng(6)
+    q, c = rng.normal(size=(4, 3)), rng.normal(size=(40, 8, 3))
+    batches = [pa.RecordBatch.from_pydict({
+        "g": ["a"] * 5, "q_id": [[1, 2, 3, 4]] * 5, "q_vec": [list(q.ravel())] * 5,
+        "c_id": [list(range(8 * i, 8 * i + 8)) for i in range(at, at + 5)], "c_vec": [list(c[i].ravel()) for i in range(at, at + 5)],
+    }) for at in range(0, 40, 5)]
+    out = pa.Table.from_batches(list(neighbours._near_lists(3, "euclidean", True)(iter(batches)))).to_pylist()
+    want = np.linalg.norm(q[:, None] - c.reshape(1, 320, 3), axis=2)
+    assert sorted((r["q_rep"], r["c_rep"]) for r in out) == sorted((i + 1, int(j)) for i in range(4) for j in np.argsort(want[i])[:3])
