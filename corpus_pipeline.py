@@ -28,6 +28,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of near copies (5-word Jaccard 0.8 or more), that of the least doc_id.
 
+    Candidates come from operator 8 (SimHash within 3 bits) and from MinHash bands; all are verified.
     Null and empty texts are equal to each other: one of them stays. Of repeated
     rows one stays; ties of doc_id go by the text.
     """

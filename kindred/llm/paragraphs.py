@@ -259,18 +259,22 @@ def rest_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity
 
 
 def unit_components(docs: DataFrame, units: Units, k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS,
-                    rows: int = ROWS, **search) -> tuple[DataFrame, DataFrame]:
+                    rows: int = ROWS, buckets: Callable[[DataFrame], DataFrame] | None = None,
+                    **search) -> tuple[DataFrame, DataFrame]:
     """Every unit of text (``occurrences``), and ``name, times, at, comp`` of every different one.
 
     Equal units are merged first. Different ones that share a band key are
     compared with the most frequent one of the bucket, then, where a bucket is
-    not yet one component, with each other. ``comp`` names the component, ``at``
+    not yet one component, with each other. ``buckets`` makes more of them out of the
+    units (``name, bucket``). ``comp`` names the component, ``at``
     is the least (doc_id, text, line) of the unit.
     """
     found = cut(occurrences(docs, units, k, bands, rows), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line")
     distinct = cut(found.groupBy("name").agg(F.first("keys").alias("keys"), F.count("*").alias("times"), F.min(place).alias("at")), "distinct")
     keyed = distinct.select("name", "times", F.explode("keys").alias("bucket"))
+    if buckets:
+        keyed = cut(keyed.union(distinct.select("name", "times").join(buckets(found), "name").select("name", "times", "bucket")), "keyed")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = cut(keyed.join(shared, "bucket"), "members")
     involved = members.select("name").distinct()

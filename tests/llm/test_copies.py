@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from kindred.llm import simhash
+from kindred.llm import copies, simhash
 
 
 def prose(n, seed):
@@ -52,3 +52,18 @@ def test_one_document_of_near_copies_stays(spark, texts):
         groups.setdefault(find(k), []).append((i is None, i or 0))
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(map(min, groups.values()))
+
+
+def test_close_fingerprints_are_candidates(spark):
+    loop, shared = " ".join(["red green blue"] * 60), " ".join(prose(100, 70))
+    texts = [f"{loop} {shared} " + " ".join(prose(5, seed)) for seed in range(200, 206)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert max((a ^ b).bit_count() for a in prints for b in prints) <= simhash.RADIUS
+    assert min(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a in texts for b in texts) >= 0.8
+    # Same fingerprint, other words after the loop: a candidate, but no near copy.
+    texts.append(f"{loop} " + " ".join(prose(20, 99)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in copies.near_copies(docs, bands=1, rows=60).collect():  # a band that hardly any pair shares
+        found.setdefault(r["comp"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, found.values())) == [[0, 1, 2, 3, 4, 5], [6]]
