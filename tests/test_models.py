@@ -255,3 +255,12 @@ def test_result_row_and_cells(spark):
     scores = spark.createDataFrame([(0, 0.5), (0, 1.0), (1, 0.75), (1, 0.75), (2, 0.1)], "cell_id long, score double")
     got = {r.cell_id: (r.mean_score, r.std_score, r.rank_score) for r in search.cell_summary(scores, ["cell_id"]).collect()}
     assert got == {0: (0.75, 0.25, 1), 1: (0.75, 0.0, 1), 2: (0.1, 0.0, 3)}
+
+
+def test_training_rows_are_held_in_no_more_parts_than_cores(spark):
+    """Every part of a forest's rows sends the statistics of all nodes of a level, so 200 small parts took most of the time."""
+    rows = spark.range(5000).withColumn("fold", F.col("id") % 3).repartition(64)
+    held = classify._training_rows(rows)
+    assert held.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert held.count() == 5000 and held.agg(F.sum("id")).first()[0] == 5000 * 4999 // 2
+    held.unpersist()
