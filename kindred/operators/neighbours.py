@@ -71,9 +71,10 @@ def _near_lists(k: int, metric: str, grouped: bool, rows_of: Callable[[np.ndarra
                         yield sent()
                         size = 0
                     x = tiles.matrix(batch, "q_vec", row, len(q_ids))
-                    held[key] = {"ids": q_ids, "x": x, "row": np.empty(0, np.int64), "c": np.empty(0, np.int64), "d": np.empty(0),
+                    # Copies: what views a batch keeps all of it.
+                    held[key] = {"ids": q_ids.copy(), "x": x, "row": np.empty(0, np.int64), "c": np.empty(0, np.int64), "d": np.empty(0),
                                  "worst": np.full(len(q_ids), np.inf), "cells": rows_of(x) if rows_of else None,
-                                 "g": batch.column("g")[row] if grouped else None}
+                                 "g": pa.scalar(key[0], batch.column("g").type) if grouped else None}
                     size += len(q_ids) * (k + x.shape[1])
                 at = held[key]
                 for_all = at["cells"] is None

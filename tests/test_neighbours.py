@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,31 @@ def test_pruning_skips_far_cells(spark, vectors, blobs):
     got = as_dict(neighbours.knn_join(q, vectors(x), 3, "euclidean", pivots=12, tile_rows=16))
     ids = list(range(len(x)))
     assert got == brute(x, x, 3, "euclidean", ids, ids)
+
+
+def test_held_lists_keep_no_batch():
+    """What a task holds of the query tiles it has seen is theirs, not the Arrow batches they came in."""
+    rng, rows, seen = np.random.default_rng(5), 256, []
+    base = pa.total_allocated_bytes()
+
+    def flat(x):
+        return pa.array([x.ravel()], pa.list_(pa.float64()))
+
+    def received(batch):
+        """As a worker gets it: all columns in one buffer."""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        return next(iter(pa.ipc.open_stream(sink.getvalue())))
+
+    def batches():
+        for q in range(8):
+            ids = pa.array([np.arange(rows) + rows * q], pa.list_(pa.int64()))
+            yield received(pa.RecordBatch.from_arrays(
+                [ids, flat(rng.normal(size=(rows, 64))), ids, flat(rng.normal(size=(rows, 64)))],
+                names=["q_id", "q_vec", "c_id", "c_vec"]))
+            seen.append(pa.total_allocated_bytes() - base)
+
+    out = list(neighbours._near_lists(3, "euclidean", False)(batches()))
+    assert sum(b.num_rows for b in out) == 8 * rows * 3
+    assert seen[-1] < 3 * seen[0]
