@@ -52,6 +52,19 @@ def test_grid_inside_groups_and_other_queries(spark, vectors):
         assert empty.collect() == []
 
 
+@pytest.mark.parametrize("first", [2, 3])
+def test_grid_groups_of_different_dimensions(spark, first):
+    """Layouts of 2 and 3 components are searched in the same jobs, each in all of its dimensions."""
+    rng, rows, want = np.random.default_rng(6), [], []
+    for g, dims in enumerate((first, 5 - first)):
+        x = rng.normal(size=(300, dims)) * [1.0, 1.0, 40.0][:dims]
+        ids = list(range(1000 * g, 1000 * g + 300))
+        rows += [(i, g, [float(a) for a in v]) for i, v in zip(ids, x)]
+        want += brute(x, ids, 6)
+    table = spark.createDataFrame(rows, "idx_global long, g int, embedding array<double>").coalesce(1)
+    same(neighbours.knn_graph(table, 6, "euclidean", by="g", search=cells.grid_pairs, tile_rows=16).drop("g"), sorted(want))
+
+
 def test_grid_opens_few_cells(spark):
     """Pairs of cells grow about in proportion to the points, not with their square."""
     pairs = {}
