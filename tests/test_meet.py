@@ -53,6 +53,15 @@ def test_tiles_travel_by_parts_not_by_partners(spark):
     assert many <= 4 * few and many <= 2 * 240 * 7
 
 
+def test_tiles_are_never_broadcast(spark):
+    """However small a written table of tiles is on disk, the driver does not collect it."""
+    left, right = (numbered(spark, n, [(i % 3, i) for i in range(30)]) for n in "ab")
+    for met in (tiles.meet(left, right, ["g"], "a", "b"), tiles.meet(left.drop("g"), right.drop("g"), [], "a", "b")):
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan
+        assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lists_over_many_tiles_keep_ties_and_order(spark, vectors, monkeypatch):
     monkeypatch.setattr(neighbours, "HELD", 64)
     rng = np.random.default_rng(3)
