@@ -20,6 +20,8 @@ from kindred.session import cut, small_table
 MAX_PIVOTS = 512
 # Numbers held in the lists and query tiles of a task before they are sent on.
 HELD = 1 << 24
+# Corpus rows that about a tile of queries meets in one product. Many, so that the first tells few but the nearest.
+BLOCK_ROWS = 1 << 12
 
 
 def _slot_counts(df: DataFrame, keys: list[str], rows: int, n: int):
@@ -75,33 +77,48 @@ def _near_lists(k: int, metric: str, grouped: bool, rows_of: Callable[[np.ndarra
                     held[key] = {"ids": q_ids.copy(), "x": x, "row": np.empty(0, np.int64), "c": np.empty(0, np.int64), "d": np.empty(0),
                                  "worst": np.full(len(q_ids), np.inf), "cells": rows_of(x) if rows_of else None,
                                  "g": pa.scalar(key[0], batch.column("g").type) if grouped else None}
-                    size += len(q_ids) * (k + x.shape[1])
+                    size += len(q_ids) * (k + 3 * x.shape[1])
                 at = held[key]
                 for_all = at["cells"] is None
                 some = None if for_all else np.flatnonzero((at["cells"] == batch.column("c_cell")[row].as_py()).any(axis=1))
                 if not for_all and not len(some):
                     continue
-                x = at["x"] if for_all else at["x"][some]
-                y = tiles.matrix(batch, "c_vec", row, len(c_ids))
-                d = 1.0 - tiles.cosine_block(x, y) if metric == "cosine" else tiles.euclidean_block(x, y)
-                _keep_best(at, d, c_ids, k, some)
+                _keep_near(at, tiles.matrix(batch, "c_vec", row, len(c_ids)), c_ids, k, metric, some)
         if held:
             yield sent()
     return run
 
 
+def _keep_near(at: dict, y: np.ndarray, c_ids: np.ndarray, k: int, metric: str, some: np.ndarray | None) -> None:
+    """Merge the rows of a corpus tile into the lists of a query tile (of its rows ``some``)."""
+    if "screen" not in at:
+        at["screen"] = tiles.Screen(at["x"], metric)
+    worst = at["worst"] if some is None else at["worst"][some]
+    found = at["screen"].within(y, worst, k, some)
+    if found is None:
+        x = at["x"] if some is None else at["x"][some]
+        d = 1.0 - tiles.cosine_block(x, y) if metric == "cosine" else tiles.euclidean_block(x, y)
+        _keep_best(at, d, c_ids, k, some)
+    elif len(found[0]):
+        i, j, d = found
+        _merge(at, i if some is None else some[i], c_ids[j], d, k)
+
+
 def _keep_best(at: dict, d: np.ndarray, c_ids: np.ndarray, k: int, some: np.ndarray | None) -> None:
     """Merge a block of distances into the lists of its rows: least distance, then least id."""
     worst = at["worst"] if some is None else at["worst"][some]
     near = d <= worst[:, None]
     i, j = tiles.smallest_per_row(d, k) if near.sum() > 2 * k * len(d) else np.nonzero(near)
-    if not len(i):
-        return
-    new = i if some is None else some[i]
+    if len(i):
+        _merge(at, i if some is None else some[i], c_ids[j], d[i, j], k)
+
+
+def _merge(at: dict, new: np.ndarray, c_ids: np.ndarray, d: np.ndarray, k: int) -> None:
+    """Add entries (row, id, distance) to the lists, k a row: least distance, then least id."""
     touched = np.zeros(len(at["worst"]), dtype=bool)
     touched[new] = True
     old = touched[at["row"]]
-    row, c, dist = (np.concatenate(v) for v in ((at["row"][old], new), (at["c"][old], c_ids[j]), (at["d"][old], d[i, j])))
+    row, c, dist = (np.concatenate(v) for v in ((at["row"][old], new), (at["c"][old], c_ids), (at["d"][old], d)))
     order = np.lexsort((c, dist, row))
     row, c, dist = row[order], c[order], dist[order]
     place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
@@ -135,11 +152,82 @@ def _search_tiles(q_tiles: DataFrame, c_tiles: DataFrame, k: int, metric: str, g
     schema = T.StructType([*fields, T.StructField("q_rep", T.LongType()),
                            T.StructField("c_rep", T.LongType()), T.StructField("dist", T.DoubleType())])
     cells = "wanted" in q_tiles.columns
-    pairs = tiles.meet(
-        q_tiles.select(*group, "q_id", "q_vec", *["wanted"][:cells]), c_tiles.select(*group, "c_id", "c_vec", *["c_cell"][:cells]),
-        group, F.col("q_id")[0], F.col("c_id")[0], F.array_contains("wanted", F.col("c_cell")) if cells else None)
-    kept = [*group, "q_id", "q_vec", "c_id", "c_vec", *(["c_cell"] if rows_of else [])]
-    return pairs.select(*kept).mapInArrow(_near_lists(k, metric, bool(group), rows_of), schema)
+    kinds = {df.schema[f"{p}_vec"].dataType.simpleString() for df, p in ((q_tiles, "q"), (c_tiles, "c"))}
+
+    def side(df: DataFrame, p: str, cell: str) -> DataFrame:
+        vec = F.col(f"{p}_vec") if len(kinds) == 1 else F.col(f"{p}_vec").cast("array<double>")
+        return df.select(*group, F.col(f"{p}_id").alias("id"), vec.alias("vec"), *[cell][:cells])
+
+    dealt = tiles.stream(side(q_tiles, "q", "wanted"), side(c_tiles, "c", "c_cell"), group, F.col("id")[0], F.col("id")[0])
+    return dealt.mapInArrow(_near_parts(k, metric, bool(group), cells, rows_of), schema)
+
+
+def _near_parts(k: int, metric: str, grouped: bool, cells: bool, rows_of: Callable[[np.ndarray], np.ndarray] | None = None):
+    """The k best of every query among the corpus rows of each part that its tile meets (``tiles.stream``).
+
+    With ``cells`` a query tile reads the ``c_cell``s it has ``wanted``, a query those that ``rows_of`` says.
+    """
+    def take(batch: pa.RecordBatch, row: int) -> dict:
+        ids = tiles.list_values(batch, "id", row).copy()
+        got = {"ids": ids, "x": tiles.list_values(batch, "vec", row).reshape(len(ids), -1).copy()}
+        if cells:
+            got["cell"], wanted = batch.column("c_cell")[row].as_py(), batch.column("wanted")[row]
+            got["wanted"] = set(wanted.as_py() or ())
+        return got
+
+    def blocks(held: list[dict]) -> dict:
+        """Cell -> (ids, rows) of BLOCK_ROWS each, whatever the tiles they came in."""
+        by_cell, out = {}, {}
+        while held:
+            tile = held.pop()
+            by_cell.setdefault(tile.get("cell"), []).append(tile)
+        for cell, some in by_cell.items():
+            ids, x = (np.concatenate([t[n] for t in some]) for n in ("ids", "x"))
+            some.clear()
+            out[cell] = [(ids[at:at + BLOCK_ROWS], x[at:at + BLOCK_ROWS]) for at in range(0, len(ids), BLOCK_ROWS)]
+        return out
+
+    def run(batches):
+        g_type, corpus, last, waiting = None, {}, None, []
+
+        def searched(key: tuple) -> pa.RecordBatch:
+            ids, x = (np.concatenate([t[n] for t in waiting]) for n in ("ids", "x"))
+            x = x.astype(np.float64)
+            at = {"x": x, "row": np.empty(0, np.int64), "c": np.empty(0, np.int64), "d": np.empty(0), "worst": np.full(len(ids), np.inf)}
+            reads = rows_of(x) if rows_of else None
+            for cell, some in corpus.items():
+                if cells and cell not in waiting[0]["wanted"]:
+                    continue
+                rows = None if reads is None else np.flatnonzero((reads == cell).any(axis=1))
+                if rows is not None and not len(rows):
+                    continue
+                for c_ids, y in some:
+                    _keep_near(at, y.astype(np.float64), c_ids, k, metric, rows)
+            waiting.clear()
+            columns = [pa.array(ids[at["row"]]), pa.array(at["c"]), pa.array(at["d"])]
+            if grouped:
+                columns.insert(0, pa.repeat(pa.scalar(key[0], g_type), len(at["row"])))
+            return pa.RecordBatch.from_arrays(columns, names=["g"][:grouped] + ["q_rep", "c_rep", "dist"])
+
+        def seen():
+            nonlocal g_type
+            for batch in batches:
+                g_type = batch.schema.field("g").type if grouped else None
+                yield batch
+
+        key = ()
+        for now, held, tile in tiles.passing(seen(), ["g"][:grouped], take):
+            if held is not last:
+                if waiting:
+                    yield searched(key)
+                key, last, corpus = now, held, blocks(held)
+            waiting.append(tile)
+            # Tiles that read all cells are searched together, about TILE_ROWS rows at once.
+            if cells or sum(len(t["ids"]) for t in waiting) >= tiles.TILE_ROWS:
+                yield searched(key)
+        if waiting:
+            yield searched(key)
+    return run
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
